@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewell.catalog import Catalog, table
-from tracewell.llm import neardup
+from tracewell.llm import encode, neardup, overlap
 
 CATALOG = Catalog()
 
@@ -13,3 +14,26 @@ CATALOG = Catalog()
 @CATALOG.add("p5_found")
 def p5_found(spark, sf) -> DataFrame:
     return neardup.near_groups(table(spark, sf, "illustrations"), "illus_id", "description").select("group_id", "illus_id")
+
+
+def _split_records(spark, sf) -> DataFrame:
+    """Both tables' texts with train or not; rows of a null or blank split are in no split."""
+    split = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
+    one = lambda name, k, rec, text: table(spark, sf, name).select(
+        F.lit(k).alias("tbl"), F.col(rec).alias("rec"), F.when(split != "", split == "train").alias("train"), F.col(text).alias("text")
+    )
+    return one("illustrations", 0, "illus_id", "description").unionAll(one("problems", 1, "problem_id", "statement"))
+
+
+_TBL = F.element_at(F.array(F.lit("illustrations"), F.lit("problems")), F.col("tbl") + 1).alias("tbl")
+
+
+@CATALOG.add("p1_found")
+def p1_found(spark, sf) -> DataFrame:
+    found = overlap.split_overlaps(_split_records(spark, sf))
+    return found.select(_TBL, F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
+
+
+@CATALOG.add("p6_ids")
+def p6_ids(spark, sf) -> DataFrame:
+    return encode.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
