@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.catalog import Catalog, table
-from tracewell.llm import encode, neardup, overlap
+from tracewell.llm import encode, leak, neardup, overlap, sample, spans
 
 CATALOG = Catalog()
 
@@ -37,3 +37,28 @@ def p1_found(spark, sf) -> DataFrame:
 @CATALOG.add("p6_ids")
 def p6_ids(spark, sf) -> DataFrame:
     return encode.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@CATALOG.add("p7_found")
+def p7_found(spark, sf) -> DataFrame:
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "test_items")
+    return leak.leaked_items(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+
+
+@CATALOG.add("p8_found")
+def p8_found(spark, sf) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+@CATALOG.add(
+    "p3_found",
+    r"""
+WITH p AS (SELECT DISTINCT problem_id, topic, source FROM problems WHERE statement IS NOT NULL),
+l AS (SELECT problem_id, 'topic' AS field_name, topic AS c FROM p UNION ALL SELECT problem_id, 'source', source FROM p),
+k AS (SELECT field_name, regexp_replace(lower(regexp_replace(c, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '[\s\x{00A0}-]', '_', 'g') AS category, count(DISTINCT problem_id) AS n FROM l GROUP BY ALL)
+SELECT t.request_id, t.category FROM sample_targets t LEFT JOIN k USING (field_name, category)
+WHERE coalesce(k.n, 0) < greatest(t.min_rows, ceil(t.target_pm * t.sample_rows / 1000.0))""",
+)
+def p3_found(spark, sf) -> DataFrame:
+    _, report = sample.proportional_samples(table(spark, sf, "problems"), table(spark, sf, "sample_targets"), "problem_id", "statement", ("topic", "source"))
+    return report.filter("short").select("request_id", "category")
