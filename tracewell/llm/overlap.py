@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import Symbols, add_saturating, merged_table, near_from_counts, parity_sketch, prefix_order, triples, window_hashes
-from tracewell.session import stage
+from tracewell.llm.words import Symbols, add_saturating, merged_table, near_from_counts, parity_sketch, window_hashes
+from tracewell.session import stage, unstage
 
 COUNTERS = 1 << 22
 BITS = 1 << 25
-PASSAGES = 400_000
-BUCKET = 50_000
+#: An automaton of so many passages takes about 0.3 GB.
+PASSAGES = 1_500_000
+BUCKET = 100_000
 _POINTS = np.uint32(0x110000 - 0x800)
 
 
@@ -45,6 +46,7 @@ def _hashes(symbols: np.ndarray, tbl: int) -> np.ndarray:
 
 
 def _rows(batch: pa.RecordBatch, data: int) -> Iterator[tuple]:
+    """The rows, the symbols (in column `data`, the last) as an array."""
     rest = [batch.column(k).to_pylist() for k in range(batch.num_columns) if k != data]
     for *row, s in zip(*rest, batch.column(data).to_pylist()):
         yield (*row, np.frombuffer(s, np.uint32))
@@ -79,40 +81,61 @@ def _count_table(texts: DataFrame) -> np.ndarray:
     return merged_table(texts.select("tbl", "symbols"), fill, COUNTERS, "add")
 
 
-def _train_bits(train: DataFrame, counts) -> np.ndarray:
-    mask = np.uint64(BITS - 1)
+def _with_prefix(texts: DataFrame, counts) -> DataFrame:
+    """Adds flags (a byte for each triple in order: is it in the prefix), n distinct triples, and their sketch."""
+    mask = np.uint64(COUNTERS - 1)
 
-    def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         for batch in batches:
-            for tbl, s in _rows(batch, 1):
-                at = (prefix_order(np.unique(_hashes(s, tbl)), order) & mask).astype(np.int64)
+            flags, sizes, sketches = [], [], []
+            for tbl, s in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                u, back = np.unique(_hashes(np.frombuffer(s, np.uint32), tbl), return_inverse=True)
+                held = np.zeros(len(u), np.uint8)
+                held[np.lexsort((u, order[(u & mask).astype(np.int64)]))[: len(u) // 2 + 1]] = 1
+                flags.append(held[back].tobytes())
+                sizes.append(len(u))
+                sketches.append(parity_sketch(u))
+            more = [pa.array(flags, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["tbl", "rec", "train", "symbols", "flags", "n", "sketch"])
+
+    return texts.mapInArrow(run, "tbl int, rec long, train boolean, symbols binary, flags binary, n int, sketch binary")
+
+
+def _slots(s: np.ndarray, tbl: int, at: np.ndarray) -> np.ndarray:
+    return (_hashes(s, tbl)[at] & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _train_bits(train: DataFrame) -> np.ndarray:
+    def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+        for batch in batches:
+            for tbl, flags, s in _rows(batch, 2):
+                at = _slots(s, tbl, np.flatnonzero(np.frombuffer(flags, np.uint8)))
                 np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    return merged_table(train.select("tbl", "symbols"), fill, BITS >> 3, "or")
+    return merged_table(train.select("tbl", "flags", "symbols"), fill, BITS >> 3, "or")
 
 
-def _passages(held_out: DataFrame, counts, bits, buckets: int) -> DataFrame:
-    """(bucket, tbl, rec, symbols, at): where in the evaluation text its passages start. Copies share a bucket."""
-    mask = np.uint64(BITS - 1)
+def _passages(held_out: DataFrame, bits, buckets: int) -> DataFrame:
+    """(bucket, tbl, rec, symbols, at, size, n, sketch): where in the evaluation text its passages start. Copies share
+    a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for tbl, rec, s in _rows(batch, 2):
-                h = _hashes(s, tbl)
-                u, first = np.unique(h, return_index=True)
-                prefix = prefix_order(u, counts.value)
-                slot = (prefix & mask).astype(np.int64)
-                prefix = prefix[(bits.value[slot >> 3] >> (slot & 7)) & 1 == 1]
-                if len(prefix):
-                    at = first[np.searchsorted(u, prefix)].astype(np.int32)
-                    out.append((xxhash.xxh3_64_intdigest(u.tobytes()) % buckets, tbl, rec, s.tobytes(), at.tobytes(), len(at)))
+            for tbl, rec, flags, n, sketch, s in _rows(batch, 5):
+                at = np.flatnonzero(np.frombuffer(flags, np.uint8))
+                slot = _slots(s, tbl, at)
+                at = at[(bits.value[slot >> 3] >> (slot & 7)) & 1 == 1].astype(np.int32)
+                if len(at):
+                    out.append((xxhash.xxh3_64_intdigest(s.tobytes()) % buckets, tbl, rec, s.tobytes(), at.tobytes(), len(at), n, sketch))
             if out:
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["bucket", "tbl", "rec", "symbols", "at", "n"])
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["bucket", "tbl", "rec", "symbols", "at", "size", "n", "sketch"])
 
-    return held_out.select("tbl", "rec", "symbols").mapInArrow(run, "bucket int, tbl int, rec long, symbols binary, at binary, n int")
+    return held_out.select("tbl", "rec", "flags", "n", "sketch", "symbols").mapInArrow(
+        run, "bucket int, tbl int, rec long, symbols binary, at binary, size int, n int, sketch binary"
+    )
 
 
 class _Automaton:
@@ -121,60 +144,49 @@ class _Automaton:
     def __init__(self, path: str, buckets: list[int]) -> None:
         fs, root = pafs.FileSystem.from_uri(path)
         found = pads.dataset([f.path for b in buckets for f in fs.get_file_info(pafs.FileSelector(f"{root}/bucket={b}")) if f.path.endswith(".parquet")], filesystem=fs, format="parquet")
-        self.texts: dict[bytes, int] = {}
-        self.records: list[list[int]] = []
-        self.sets: list[tuple] = []
+        texts: dict[tuple, int] = {}
+        self.entries: list[tuple] = []
         hits: dict[str, list[int]] = {}
-        for batch in found.to_batches(columns=["tbl", "rec", "symbols", "at"]):
-            for tbl, rec, s, at in zip(*(c.to_pylist() for c in batch.columns)):
-                s, at = np.frombuffer(s, np.uint32), np.frombuffer(at, np.int32)
-                h = _hashes(s, tbl)
-                u = np.unique(h)
-                key = u.tobytes()
-                if key in self.texts:
-                    self.records[self.texts[key]].append((rec, h))
+        for batch in found.to_batches(columns=["tbl", "rec", "symbols", "at", "n", "sketch"]):
+            for tbl, rec, s, at, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k := texts.get((tbl, s))) is not None:
+                    self.entries[k][4].append(rec)
                     continue
-                k = self.texts[key] = len(self.sets)
-                self.records.append([(rec, h)])
-                self.sets.append((tbl, u, int.from_bytes(parity_sketch(u), "little")))
-                text = _characters(s, tbl).tobytes().decode("utf-32-le")
-                for i in at.tolist():
-                    hits.setdefault(text[i : i + 3], []).append(k)
-        self.texts.clear()
+                k = texts[tbl, s] = len(self.entries)
+                self.entries.append((int.from_bytes(sketch, "little"), n, tbl, s, [rec]))
+                text = _characters(np.frombuffer(s, np.uint32), tbl).tobytes().decode("utf-32-le")
+                for passage in {text[i : i + 3] for i in np.frombuffer(at, np.int32).tolist()}:
+                    if passage in hits:
+                        hits[passage].append(k)
+                    else:
+                        hits[passage] = [k]
+        del texts
         self.automaton = ahocorasick.Automaton()
         for passage, where in hits.items():
             self.automaton.add_word(passage, where)
-        if hits:
-            self.automaton.make_automaton()
-        self.empty = not hits
+        self.automaton.make_automaton()
 
-    def near(self, tbl: int, s: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    def near(self, tbl: int, flags: bytes, n: int, sketch: bytes, s: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(record, common, n train, n held out, covered share) of the evaluation records near to the training text."""
-        if self.empty:
-            return
-        ends = list(self.automaton.iter(_characters(s, tbl).tobytes().decode("utf-32-le")))
-        if not ends:
-            return
-        h = _hashes(s, tbl)
-        u, back = np.unique(h, return_inverse=True)
-        prefix = np.isin(u, prefix_order(u, counts), assume_unique=True)[back].tolist()
         found: set[int] = set()
-        for end, where in ends:
-            if prefix[end - 2]:
+        for end, where in self.automaton.iter(_characters(s, tbl).tobytes().decode("utf-32-le")):
+            if flags[end - 2]:
                 found.update(where)
         if not found:
             return
-        n, sketch = len(u), int.from_bytes(parity_sketch(u), "little")
+        own, entries, u = int.from_bytes(sketch, "little"), self.entries, None
         for k in found:
-            own, v, other = self.sets[k]
-            m = len(v)
-            if own != tbl or 3 * (sketch ^ other).bit_count() > n + m:
+            other, m, held_tbl, held, records = entries[k]
+            if 3 * (own ^ other).bit_count() > n + m or held_tbl != tbl:
                 continue
-            at = np.minimum(u.searchsorted(v), n - 1)
-            common = int((u[at] == v).sum())
+            if u is None:
+                u = np.unique(_hashes(s, tbl))
+            order = _hashes(np.frombuffer(held, np.uint32), tbl)
+            shared = u[np.minimum(u.searchsorted(order), n - 1)] == order
+            common = len(np.unique(order[shared]))
             if near_from_counts(common, n, m):
-                for rec, order in self.records[k]:
-                    yield rec, common, n, m, covered_share(np.isin(order, u))
+                for rec in records:
+                    yield rec, common, n, m, covered_share(shared)
 
 
 def covered_share(shared: np.ndarray, width: int = 3) -> float:
@@ -194,15 +206,16 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
     that come twice count once; an empty table gives an empty result.
     """
     spark = records.sparkSession
-    texts = stage(encoded(records.filter("train is not null")), "words")
-    counts = spark.sparkContext.broadcast(_count_table(texts))
+    words = stage(encoded(records.filter("train is not null")), "words")
+    counts = spark.sparkContext.broadcast(_count_table(words))
+    texts = stage(_with_prefix(words, counts), "texts")
+    unstage(words)
     train, held_out = texts.filter("train"), texts.filter("not train")
     size = held_out.agg(F.sum(F.length("symbols")) / 8).first()[0] or 0
-    buckets = 1 + int(size // BUCKET)
-    bits = spark.sparkContext.broadcast(_train_bits(train, counts))
-    held = stage(_passages(held_out, counts, bits, buckets).repartition("bucket"), "passages", ["bucket"])
+    bits = spark.sparkContext.broadcast(_train_bits(train))
+    held = stage(_passages(held_out, bits, 1 + int(size // BUCKET)).repartition("bucket"), "passages", ["bucket"])
     shards: list[tuple[int, list[int]]] = []
-    for row in held.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect():
+    for row in held.groupBy("bucket").agg(F.sum("size").alias("n")).orderBy("bucket").collect():
         if not shards or shards[-1][0] + row["n"] > passages:
             shards.append((0, []))
         shards[-1] = (shards[-1][0] + row["n"], [*shards[-1][1], row["bucket"]])
@@ -213,7 +226,7 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
             shard = None
             for batch in batches:
                 shard = shard or _Automaton(path, own)
-                out = [(tbl, rec, *found) for tbl, rec, s in _rows(batch, 2) for found in shard.near(tbl, s, counts.value)]
+                out = [(tbl, rec, *found) for tbl, rec, *text in _rows(batch, 5) for found in shard.near(tbl, *text)]
                 if out:
                     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "train_id", "held_id", "common", "n_train", "n_held", "covered"])
@@ -223,7 +236,7 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
     schema = "tbl int, train_id long, held_id long, common int, n_train int, n_held int, covered double"
     if not shards:
         return spark.createDataFrame([], schema)
-    rows = train.select("tbl", "rec", "symbols")
+    rows = train.select("tbl", "rec", "flags", "n", "sketch", "symbols")
     parts = rows.rdd.getNumPartitions()
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, parts // 4))
     return reduce(DataFrame.unionAll, (rows.mapInArrow(scan(own), schema) for _, own in shards)).dropDuplicates(["tbl", "train_id", "held_id"])
