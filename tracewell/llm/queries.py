@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.catalog import Catalog, table
-from tracewell.llm import encode, leak, neardup, overlap, sample, spans
+from tracewell.llm import encode, leak, neardup, overlap, pairs, sample, spans, truncation
 
 CATALOG = Catalog()
 
@@ -62,3 +62,22 @@ WHERE coalesce(k.n, 0) < greatest(t.min_rows, ceil(t.target_pm * t.sample_rows /
 def p3_found(spark, sf) -> DataFrame:
     _, report = sample.proportional_samples(table(spark, sf, "problems"), table(spark, sf, "sample_targets"), "problem_id", "statement", ("topic", "source"))
     return report.filter("short").select("request_id", "category")
+
+
+def _results(spark, sf) -> DataFrame:
+    """Both tables of model answers as (tbl, rec, text)."""
+    one = lambda name, k, rec: table(spark, sf, name).select(F.lit(k).alias("tbl"), F.col(rec).alias("rec"), "text")
+    return one("gen_results", 0, "gen_id").unionAll(one("chat_results", 1, "call_id"))
+
+
+@CATALOG.add("p4_found")
+def p4_found(spark, sf) -> DataFrame:
+    found = truncation.cut_texts(_results(spark, sf))
+    return found.select(F.element_at(F.array(F.lit("gen_results"), F.lit("chat_results")), F.col("tbl") + 1).alias("tbl"), F.col("rec").alias("row_id"))
+
+
+@CATALOG.add("p2_found")
+def p2_found(spark, sf) -> DataFrame:
+    cut = truncation.cut_texts(_results(spark, sf)).filter("tbl = 0").select(F.col("rec").alias("gen_id"))
+    answers = table(spark, sf, "gen_results").filter("error is null")
+    return pairs.defective_pairs(table(spark, sf, "illustrations"), "illus_id", "description", answers, "gen_id", "text", cut)
