@@ -8,5 +8,5 @@ from tracewell.catalog import Catalog
 
 CATALOG = Catalog()
 
-for _module in ("reports",):
+for _module in ("reports", "geometry"):
     importlib.import_module(f"tracewell.plans.{_module}")
