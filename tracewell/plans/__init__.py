@@ -8,5 +8,5 @@ from tracewell.catalog import Catalog
 
 CATALOG = Catalog()
 
-for _module in ("curation", "reports", "geometry", "figures"):
+for _module in ("curation", "reports", "geometry", "figures", "texts", "extras"):
     importlib.import_module(f"tracewell.plans.{_module}")
