@@ -45,7 +45,13 @@ def p7_found(spark, sf) -> DataFrame:
     return leak.leaked_items(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
 
 
-@CATALOG.add("p8_found")
+@CATALOG.add(
+    "p8_found",
+    """
+WITH w AS (SELECT doc_id, hash(substr(text, i, 400)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)
+SELECT DISTINCT doc_id FROM w SEMI JOIN r USING (h)""",
+)
 def p8_found(spark, sf) -> DataFrame:
     return spans.shared_spans(table(spark, sf, "documents"), "doc_id", "text").select("doc_id").distinct()
 
@@ -60,8 +66,7 @@ SELECT t.request_id, t.category FROM sample_targets t LEFT JOIN k USING (field_n
 WHERE coalesce(k.n, 0) < greatest(t.min_rows, ceil(t.target_pm * t.sample_rows / 1000.0))""",
 )
 def p3_found(spark, sf) -> DataFrame:
-    _, report = sample.proportional_samples(table(spark, sf, "problems"), table(spark, sf, "sample_targets"), "problem_id", "statement", ("topic", "source"))
-    return report.filter("short").select("request_id", "category")
+    return _samples(spark, sf)[1].filter("short").select("request_id", "category")
 
 
 def _results(spark, sf) -> DataFrame:
@@ -81,3 +86,68 @@ def p2_found(spark, sf) -> DataFrame:
     cut = truncation.cut_texts(_results(spark, sf)).filter("tbl = 0").select(F.col("rec").alias("gen_id"))
     answers = table(spark, sf, "gen_results").filter("error is null")
     return pairs.defective_pairs(table(spark, sf, "illustrations"), "illus_id", "description", answers, "gen_id", "text", cut)
+
+
+@CATALOG.add("p1_report")
+def p1_report(spark, sf) -> DataFrame:
+    """Per table, split and source of the evaluation records: those with an overlap, their pairs, and the mean share of
+    their words that the training text covers."""
+    found = overlap.split_overlaps(_split_records(spark, sf)).groupBy("tbl", "held_id").agg(F.count("*").alias("pairs"), F.max("covered").alias("covered"))
+    of = lambda name, k, rec: table(spark, sf, name).select(F.lit(k).alias("tbl"), F.col(rec).alias("held_id"), F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split"), F.lower(F.trim("source")).alias("source"))
+    held = of("illustrations", 0, "illus_id").unionAll(of("problems", 1, "problem_id")).dropDuplicates(["tbl", "held_id"])
+    return found.join(held, ["tbl", "held_id"]).groupBy(_TBL, "split", "source").agg(
+        F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.round(F.avg("covered"), 6).alias("mean_covered")
+    )
+
+
+@CATALOG.add("p2_rates")
+def p2_rates(spark, sf) -> DataFrame:
+    """Defects per source of the answers."""
+    source = table(spark, sf, "gen_results").select("gen_id", F.lower(F.trim("source")).alias("source")).dropDuplicates(["gen_id"])
+    return p2_found(spark, sf).join(source, "gen_id").groupBy("source", "defect").agg(F.count("*").alias("n"))
+
+
+def _samples(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return sample.proportional_samples(table(spark, sf, "problems"), table(spark, sf, "sample_targets"), "problem_id", "statement", ("topic", "source"))
+
+
+@CATALOG.add("p3_sample")
+def p3_sample(spark, sf) -> DataFrame:
+    return _samples(spark, sf)[0].withColumnRenamed("id", "problem_id")
+
+
+@CATALOG.add("p3_report")
+def p3_report(spark, sf) -> DataFrame:
+    return _samples(spark, sf)[1]
+
+
+@CATALOG.add("p4_rates")
+def p4_rates(spark, sf) -> DataFrame:
+    """How often texts are cut, per table and per source or model."""
+    one = lambda name, k, rec, who: table(spark, sf, name).select(F.lit(k).alias("tbl"), F.col(rec).alias("rec"), F.lower(F.trim(who)).alias("maker")).dropDuplicates(["rec"])
+    rows = one("gen_results", 0, "gen_id", "source").unionAll(one("chat_results", 1, "call_id", "model"))
+    cut = truncation.cut_texts(_results(spark, sf)).select("tbl", "rec", F.lit(1).alias("cut"))
+    return rows.join(cut, ["tbl", "rec"], "left").groupBy("tbl", "maker").agg(F.count("*").alias("n"), F.count("cut").alias("cut"), F.round(F.count("cut") / F.count("*"), 6).alias("rate"))
+
+
+@CATALOG.add("p5_sizes")
+def p5_sizes(spark, sf) -> DataFrame:
+    """Groups of near-duplicates by size."""
+    groups = neardup.near_groups(table(spark, sf, "illustrations"), "illus_id", "description")
+    return groups.groupBy("group_id").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("groups"))
+
+
+@CATALOG.add("p7_items")
+def p7_items(spark, sf) -> DataFrame:
+    """Per leaked test item: the documents that hold some of it, and the most of its words in one document."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "test_items")
+    found = leak.leaked_items(docs, "doc_id", "text", items, "item_id", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+
+
+@CATALOG.add("p8_shares")
+def p8_shares(spark, sf) -> DataFrame:
+    """Per document with shared spans: their number, their characters, and their share of the text."""
+    docs = table(spark, sf, "documents")
+    spans_ = spans.shared_spans(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("shared"))
+    return spans_.join(docs.select("doc_id", F.length("text").alias("chars")), "doc_id").select("doc_id", "spans", "shared", F.round(F.col("shared") / F.col("chars"), 6).alias("share"))
