@@ -13,6 +13,21 @@ class Pt(NamedTuple):
     y: Column
 
 
+class Named:
+    """A point of two named columns; made without a running session, unlike Pt."""
+
+    def __init__(self, x: str, y: str) -> None:
+        self._x, self._y = x, y
+
+    @property
+    def x(self) -> Column:
+        return F.col(self._x).cast("double")
+
+    @property
+    def y(self) -> Column:
+        return F.col(self._y).cast("double")
+
+
 def pt(x: Column | str | float, y: Column | str | float) -> Pt:
     one = lambda v: F.col(v).cast("double") if isinstance(v, str) else v.cast("double") if isinstance(v, Column) else F.lit(float(v))
     return Pt(one(x), one(y))

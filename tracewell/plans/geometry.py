@@ -30,7 +30,7 @@ def triangles(spark, sf) -> DataFrame:
     return d.filter((F.abs(g.area2(A, B, C)) >= 12) & (F.least(g.dist(A, B), g.dist(B, C), g.dist(C, A)) >= 3))
 
 
-A, B, C = g.pt("ax", "ay"), g.pt("bx", "by_"), g.pt("cx", "cy")
+A, B, C = g.Named("ax", "ay"), g.Named("bx", "by_"), g.Named("cx", "cy")
 
 
 def _r(x: str, name: str, digits: int = 6) -> str:
