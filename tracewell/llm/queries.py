@@ -25,13 +25,17 @@ def _split_records(spark, sf) -> DataFrame:
     return one("illustrations", 0, "illus_id", "description").unionAll(one("problems", 1, "problem_id", "statement"))
 
 
-_TBL = F.element_at(F.array(F.lit("illustrations"), F.lit("problems")), F.col("tbl") + 1).alias("tbl")
+def _tbl(*names: str):
+    return F.element_at(F.array(*map(F.lit, names)), F.col("tbl") + 1).alias("tbl")
+
+
+_SPLIT_TABLES = ("illustrations", "problems")
 
 
 @CATALOG.add("p1_found")
 def p1_found(spark, sf) -> DataFrame:
     found = overlap.split_overlaps(_split_records(spark, sf))
-    return found.select(_TBL, F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
+    return found.select(_tbl(*_SPLIT_TABLES), F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
 
 
 @CATALOG.add("p6_ids")
@@ -78,7 +82,7 @@ def _results(spark, sf) -> DataFrame:
 @CATALOG.add("p4_found")
 def p4_found(spark, sf) -> DataFrame:
     found = truncation.cut_texts(_results(spark, sf))
-    return found.select(F.element_at(F.array(F.lit("gen_results"), F.lit("chat_results")), F.col("tbl") + 1).alias("tbl"), F.col("rec").alias("row_id"))
+    return found.select(_tbl("gen_results", "chat_results"), F.col("rec").alias("row_id"))
 
 
 @CATALOG.add("p2_found")
@@ -95,7 +99,7 @@ def p1_report(spark, sf) -> DataFrame:
     found = overlap.split_overlaps(_split_records(spark, sf)).groupBy("tbl", "held_id").agg(F.count("*").alias("pairs"), F.max("covered").alias("covered"))
     of = lambda name, k, rec: table(spark, sf, name).select(F.lit(k).alias("tbl"), F.col(rec).alias("held_id"), F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split"), F.lower(F.trim("source")).alias("source"))
     held = of("illustrations", 0, "illus_id").unionAll(of("problems", 1, "problem_id")).dropDuplicates(["tbl", "held_id"])
-    return found.join(held, ["tbl", "held_id"]).groupBy(_TBL, "split", "source").agg(
+    return found.join(held, ["tbl", "held_id"]).groupBy(_tbl(*_SPLIT_TABLES), "split", "source").agg(
         F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.round(F.avg("covered"), 6).alias("mean_covered")
     )
 
