@@ -11,9 +11,18 @@ from tracewell.functions import text as tx
 from tracewell.plans import CATALOG
 from tracewell.plans.curation import GEN_SQL, PROB_SQL, gens, probs
 from tracewell.plans.geometry import _F as _FOOT
-from tracewell.plans.geometry import _K, KEY, TRI_SQL, triangles
+from tracewell.plans.geometry import _K, KEY, TRI_SQL
+from tracewell.plans.geometry import triangles as _triangles
+from tracewell.session import spread
 
 add = CATALOG.add
+
+
+def triangles(spark, sf) -> DataFrame:
+    """Dealt out to all cores, as parsing is costly."""
+    return spread(_triangles(spark, sf))
+
+
 _NUM = r"(-?\d+(?:\.\d+)?)"
 _NAME = r"([A-Za-z]\w*)"
 

@@ -52,3 +52,10 @@ def unstage(*staged: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._tracewell_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Before costly work per row: a table of few partitions (a small file is one, whatever its rows) is dealt out to
+    all cores; one of many stays as it is, so a large table is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < per_core * cores else df
