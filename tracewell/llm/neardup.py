@@ -7,8 +7,9 @@ member follows only the edges within its radius (|A| + |B|) / 3, which no near p
 checked exactly and joined into components. The shard trees are sent by shuffle, not broadcast, as their size grows
 with the data.
 
-A shard above `hot` members links them to its first member only; a second round splits it into blocks and searches
-all of them again, but only for pairs whose components still differ, so a shard full of copies stays linear.
+A shard above `hot` members links them to its first member only; later rounds split it into blocks and search again,
+but only from members outside its largest component and only for pairs whose components still differ, so a shard full
+of near-copies stays linear.
 """
 
 from __future__ import annotations
@@ -156,11 +157,16 @@ class _Shard:
     def __init__(self, out: set[tuple[int, int]]) -> None:
         self.out, self.tree, self.most = out, BKTree(), 0
 
-    def link(self, rec: int, n: int, sketch: int, comp: int | None = None) -> None:
-        radius = min(n, (n + self.most) // 3)
+    def link(self, rec: int, n: int, sketch: int, comp: int | None = None, most: int | None = None) -> None:
+        radius, close = min(n, (n + self.most) // 3), {}
         for (other, m, c), d in self.tree.within(sketch, radius):
             if 3 * d <= n + m and n <= 2 * m and m <= 2 * n and other != rec and (comp is None or comp != c):
-                self.out.add((rec, other) if rec < other else (other, rec))
+                if most is None:
+                    self.out.add((rec, other) if rec < other else (other, rec))
+                else:
+                    close.setdefault(c, []).append((d, other))
+        for found in close.values():
+            self.out.update((min(rec, other), max(rec, other)) for _, other in sorted(found)[:most])
 
     def add(self, rec: int, n: int, sketch: int, comp: int | None = None) -> None:
         self.tree.add(sketch, (rec, n, comp))
@@ -233,42 +239,39 @@ def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
     return entries.repartition("shard").sortWithinPartitions("shard", "rec").mapInArrow(run, _PAIRS)
 
 
-def cross_pairs(entries: DataFrame, comps: DataFrame, hot: int = HOT) -> DataFrame:
-    """The pairs within the radius in hot shards whose components differ, in blocks of at most about `hot` members."""
+def cross_pairs(entries: DataFrame, comps: DataFrame, hot: int = HOT, most: int | None = None) -> DataFrame:
+    """The pairs within the radius in hot shards whose components differ.
+
+    A shard's members are dealt into blocks of about `hot`, a tree each. Only members outside the shard's largest
+    component search all blocks, so a shard that is nearly one component costs its size, not its square. With `most`,
+    a search keeps the closest so many of each other component; call again without it for what is left.
+    """
     own = entries.join(comps.withColumnRenamed("node", "rec"), "rec", "left").withColumn("comp", F.coalesce("comp", "rec"))
-    sizes = own.groupBy("shard").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    blocks = (
-        own.join(sizes.filter("low <> high"), "shard")
-        .withColumn("block", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rec", "n", "sketch", "comp", "block")
-    )
+    sizes = own.groupBy("shard", "comp").agg(F.count("*").alias("k")).groupBy("shard").agg(
+        F.ceil(F.sum("k") / hot).cast("int").alias("blocks"), F.max(F.struct("k", "comp"))["comp"].alias("major"), F.count("*").alias("comps")
+    )
+    dealt = own.join(sizes.filter("comps > 1"), "shard")
+    columns = ("rec", "n", "sketch", "comp")
+    home = dealt.select("shard", F.pmod(F.xxhash64("rec"), F.col("blocks")).cast("int").alias("block"), *columns, F.lit(0).alias("role"))
+    seek = dealt.filter("comp <> major").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *columns, F.lit(1).alias("role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
-        now, held = None, []
-
-        def close() -> None:
-            if len({m[3] for m in held}) > 1:
-                shard = _Shard(out)
-                for rec, n, sketch, comp, block in held:
-                    if now[1] == now[2] or block == now[2]:
-                        shard.link(rec, n, sketch, comp)
-                    if now[1] == now[2] or block == now[1]:
-                        shard.add(rec, n, sketch, comp)
-
-        for key, batch, a, b in _runs(batches, 3):
+        now, shard = None, _Shard(out)
+        for key, batch, a, b in _runs(batches, 2):
             if key != now:
-                close()
-                now, held = key, []
-            held.extend(_members(batch, a, b, 3))
+                now, shard = key, _Shard(out)
+            for rec, n, sketch, comp, role in _members(batch, a, b, 2):
+                if role:
+                    shard.link(rec, n, sketch, comp, most)
+                else:
+                    shard.add(rec, n, sketch, comp)
             if len(out) >= 200_000:
                 yield _pair_batch("pair", list(out))
                 out.clear()
-        close()
         yield _pair_batch("pair", list(out))
 
-    return blocks.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "block", "rec").mapInArrow(run, _PAIRS)
+    return home.unionAll(seek).repartition("shard", "block").sortWithinPartitions("shard", "block", "role", "rec").mapInArrow(run, _PAIRS)
 
 
 def near_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -283,8 +286,8 @@ def near_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "group_id", hot: int = HOT, counters: int = COUNTERS) -> DataFrame:
-    """(group, id, links): the members of every group of two or more records linked, directly or through others, by near
-    texts; the group is named by its smallest id. links counts the different texts that the member's text is near to.
+    """(group, id): the members of every group of two or more records linked, directly or through others, by near texts;
+    the group is named by its smallest id.
 
     Null, blank and very short texts are in no group; an id that comes twice is one record; an empty table gives an
     empty result; other columns are ignored.
@@ -298,14 +301,16 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "gro
     comps = connected_components(links)
     hots = found.filter("kind = 'hot'").select(F.col("a").alias("shard")).distinct()
     if not hots.isEmpty():
-        crossed = stage(near_links(cross_pairs(entries.join(hots, "shard", "left_semi"), comps, hot), reps), "links")
-        links = stage(links.unionByName(crossed).distinct(), "links")
-        comps = connected_components(links)
+        hot_entries = stage(entries.join(hots, "shard", "left_semi"), "hot")
+        for most in (4, None):  # first the closest of each component, which joins most; then all that still differ
+            crossed = near_links(cross_pairs(hot_entries, comps, hot, most), reps)
+            links = stage(links.unionByName(crossed).distinct(), "links")
+            comps = connected_components(links)
+        unstage(hot_entries)
     unstage(found)
-    degree = links.select(F.col("a").alias("rec")).unionAll(links.select(F.col("b").alias("rec"))).groupBy("rec").agg(F.count("*").alias("links"))
     texts = (
-        folded.join(comps.withColumnRenamed("node", "rec"), "rec", "left").join(degree, "rec", "left")
+        folded.join(comps.withColumnRenamed("node", "rec"), "rec", "left")
         .filter(F.col("comp").isNotNull() | (F.col("copies") > 1))
-        .select("key", F.coalesce("comp", "rec").alias(group_col), F.coalesce("links", F.lit(0)).alias("links"))
-    )
-    return feats.select("key", F.col("rec").alias(id_col)).distinct().join(texts, "key").select(group_col, id_col, "links")
+        .select("key", F.coalesce("comp", "rec").alias(group_col))
+    )
+    return feats.select("key", F.col("rec").alias(id_col)).distinct().join(texts, "key").select(group_col, id_col)
