@@ -12,6 +12,8 @@ driver nor a broadcast ever holds them; the training texts are never shuffled.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -69,14 +71,27 @@ def encoded(records: DataFrame) -> DataFrame:
     return records.select("tbl", F.col("rec").cast("long"), "train", "text").mapInArrow(run, "tbl int, rec long, train boolean, symbols binary")
 
 
+def _flat(symbols: pa.Array, tbls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, text, windows) of a whole batch at once: the triple hashes of all texts in order, the text each is of,
+    and how many each text has. Every text has three symbols or more."""
+    parts = symbols.to_pylist()
+    sizes = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
+    flat = np.frombuffer(b"".join(parts), np.uint32)
+    text = np.repeat(np.arange(len(parts)), sizes)
+    inside = text[2:] == text[:-2]
+    seeds = np.array([(t * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF for t in tbls.to_pylist()], np.uint64)
+    text = text[:-2][inside]
+    return window_hashes(flat)[inside] ^ seeds[text], text, sizes - 2
+
+
 def _count_table(texts: DataFrame) -> np.ndarray:
+    """Hashed counts of the triples of all texts, saturating at 255; they only order the triples."""
     mask = np.uint64(COUNTERS - 1)
 
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
         for batch in batches:
-            found = [np.unique(_hashes(s, tbl)) for tbl, s in _rows(batch, 1)]
-            if found:
-                add_saturating(table, (np.concatenate(found) & mask).astype(np.int64))
+            if batch.num_rows:
+                add_saturating(table, (_flat(batch.column(1), batch.column(0))[0] & mask).astype(np.int64))
 
     return merged_table(texts.select("tbl", "symbols"), fill, COUNTERS, "add")
 
@@ -86,17 +101,26 @@ def _with_prefix(texts: DataFrame, counts) -> DataFrame:
     mask = np.uint64(COUNTERS - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
+        table = counts.value
         for batch in batches:
-            flags, sizes, sketches = [], [], []
-            for tbl, s in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-                u, back = np.unique(_hashes(np.frombuffer(s, np.uint32), tbl), return_inverse=True)
-                held = np.zeros(len(u), np.uint8)
-                held[np.lexsort((u, order[(u & mask).astype(np.int64)]))[: len(u) // 2 + 1]] = 1
-                flags.append(held[back].tobytes())
-                sizes.append(len(u))
-                sketches.append(parity_sketch(u))
-            more = [pa.array(flags, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())]
+            if not batch.num_rows:
+                continue
+            h, text, windows = _flat(batch.column(3), batch.column(0))
+            order = np.lexsort((h, table[(h & mask).astype(np.int64)], text))
+            hs, ts = h[order], text[order]
+            first = np.ones(len(hs), bool)
+            first[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
+            n = np.bincount(ts[first], minlength=batch.num_rows)
+            rank = np.cumsum(first) - 1 - (np.cumsum(n) - n)[ts]
+            flags = np.empty(len(hs), np.uint8)
+            flags[order] = rank < n[ts] // 2 + 1
+            bits = np.bincount(ts[first] * 256 + (hs[first] >> np.uint64(56)).astype(np.int64), minlength=256 * batch.num_rows) & 1
+            sketches = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1)
+            raw, ends = flags.tobytes(), np.cumsum(windows).tolist()
+            more = [
+                pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary()), pa.array(n.astype(np.int32)),
+                pa.array([r.tobytes() for r in sketches], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["tbl", "rec", "train", "symbols", "flags", "n", "sketch"])
 
     return texts.mapInArrow(run, "tbl int, rec long, train boolean, symbols binary, flags binary, n int, sketch binary")
@@ -107,11 +131,15 @@ def _slots(s: np.ndarray, tbl: int, at: np.ndarray) -> np.ndarray:
 
 
 def _train_bits(train: DataFrame) -> np.ndarray:
+    mask = np.uint64(BITS - 1)
+
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+        seen = np.zeros(BITS, bool)
         for batch in batches:
-            for tbl, flags, s in _rows(batch, 2):
-                at = _slots(s, tbl, np.flatnonzero(np.frombuffer(flags, np.uint8)))
-                np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            if batch.num_rows:
+                flags = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
+                seen[(_flat(batch.column(2), batch.column(0))[0][flags == 1] & mask).astype(np.int64)] = True
+        table[:] = np.packbits(seen, bitorder="little")
 
     return merged_table(train.select("tbl", "flags", "symbols"), fill, BITS >> 3, "or")
 
@@ -141,8 +169,7 @@ def _passages(held_out: DataFrame, bits, buckets: int) -> DataFrame:
 class _Automaton:
     """The passages of some buckets; equal evaluation texts are one entry."""
 
-    def __init__(self, path: str, buckets: list[int]) -> None:
-        fs, root = pafs.FileSystem.from_uri(path)
+    def __init__(self, fs: pafs.FileSystem, root: str, buckets: list[int]) -> None:
         found = pads.dataset([f.path for b in buckets for f in fs.get_file_info(pafs.FileSelector(f"{root}/bucket={b}")) if f.path.endswith(".parquet")], filesystem=fs, format="parquet")
         texts: dict[tuple, int] = {}
         self.entries: list[tuple] = []
@@ -160,18 +187,19 @@ class _Automaton:
                         hits[passage].append(k)
                     else:
                         hits[passage] = [k]
-        del texts
-        self.automaton = ahocorasick.Automaton()
-        for passage, where in hits.items():
-            self.automaton.add_word(passage, where)
+        self.where = list(hits.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, passage in enumerate(hits):
+            self.automaton.add_word(passage, k)
         self.automaton.make_automaton()
 
-    def near(self, tbl: int, flags: bytes, n: int, sketch: bytes, s: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    def near(self, tbl: int, flags: bytes, n: int, sketch: bytes, s: np.ndarray, text: str) -> Iterator[tuple[int, int, int, int, float]]:
         """(record, common, n train, n held out, covered share) of the evaluation records near to the training text."""
         found: set[int] = set()
-        for end, where in self.automaton.iter(_characters(s, tbl).tobytes().decode("utf-32-le")):
+        where = self.where
+        for end, k in self.automaton.iter(text):
             if flags[end - 2]:
-                found.update(where)
+                found.update(where[k])
         if not found:
             return
         own, entries, u = int.from_bytes(sketch, "little"), self.entries, None
@@ -189,6 +217,29 @@ class _Automaton:
                     yield rec, common, n, m, covered_share(shared)
 
 
+def _build(spark, path: str, shards: list[list[int]]) -> None:
+    """Builds each shard's automaton once, in a task of its own, and writes it beside the passages for all to read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                name = f"{root}/_automaton-{k}"
+                part = f"{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(pickle.dumps(_Automaton(fs, root, shards[k]), protocol=5))
+                fs.move(part, name)  # a task that runs twice leaves one whole file
+                yield batch.slice(0, 0)
+
+    spark.range(0, len(shards), 1, len(shards)).mapInArrow(run, "id long").count()
+
+
+def _built(path: str, k: int) -> _Automaton:
+    fs, root = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(f"{root}/_automaton-{k}") as f:
+        return pickle.loads(f.read())
+
+
 def covered_share(shared: np.ndarray, width: int = 3) -> float:
     """The share of the words within matched windows, their intervals merged."""
     change = np.zeros(len(shared) + width, np.int32)
@@ -221,12 +272,15 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
         shards[-1] = (shards[-1][0] + row["n"], [*shards[-1][1], row["bucket"]])
     path = held._tracewell_path
 
-    def scan(own: list[int]):
+    def scan(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = None
             for batch in batches:
-                shard = shard or _Automaton(path, own)
-                out = [(tbl, rec, *found) for tbl, rec, *text in _rows(batch, 5) for found in shard.near(tbl, *text)]
+                shard = shard or _built(path, k)
+                out = []
+                for tbl, rec, flags, n, sketch, s in _rows(batch, 5):
+                    text = _characters(s, tbl).tobytes().decode("utf-32-le")
+                    out += [(tbl, rec, *found) for found in shard.near(tbl, flags, n, sketch, s, text)]
                 if out:
                     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "train_id", "held_id", "common", "n_train", "n_held", "covered"])
@@ -236,7 +290,8 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
     schema = "tbl int, train_id long, held_id long, common int, n_train int, n_held int, covered double"
     if not shards:
         return spark.createDataFrame([], schema)
+    _build(spark, path, [own for _, own in shards])
     rows = train.select("tbl", "rec", "flags", "n", "sketch", "symbols")
     parts = rows.rdd.getNumPartitions()
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, parts // 4))
-    return reduce(DataFrame.unionAll, (rows.mapInArrow(scan(own), schema) for _, own in shards)).dropDuplicates(["tbl", "train_id", "held_id"])
+    return reduce(DataFrame.unionAll, (rows.mapInArrow(scan(k), schema) for k in range(len(shards)))).dropDuplicates(["tbl", "train_id", "held_id"])
