@@ -116,6 +116,9 @@ def test_merge_latest_is_repeatable(spark, tmp_path):
     schema = "k string, t int, v int"
     path = str(tmp_path / "lww")
     first, second = spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], schema), spark.createDataFrame([("a", 2, 11), ("b", 0, 19), ("c", 1, 30)], schema)
-    for batch in (first, second, second):
-        ev.merge_latest(batch, path, ["k"], "t")
-    assert {tuple(r) for r in spark.read.parquet(f"{path}/now").collect()} == {("a", 2, 11), ("b", 1, 20), ("c", 1, 30)}
+    assert ev.latest_table(spark, path) is None
+    for epoch, batch in ((0, first), (1, second), (1, second), (2, first.limit(0)), (3, first)):
+        ev.merge_latest(batch, epoch, path, ["k"], "t")
+    assert {tuple(r) for r in ev.latest_table(spark, path).collect()} == {("a", 2, 11), ("b", 1, 20), ("c", 1, 30)}
+    (tmp_path / "lww" / "epoch=4").mkdir()  # a version that broke off
+    assert ev.latest_table(spark, path).count() == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog import table
 from tracewell.operators import report
+from tracewell.operators.curate import ordinals
 from tracewell.operators.rates import live_rate, wilson
 from tracewell.plans import CATALOG
 from tracewell.plans.curation import CHAT_SQL, GEN_SQL, ILLUS_SQL, PROB_SQL, chats, gens, illus, probs
@@ -200,9 +201,11 @@ def ordered_cells(spark, sf):
     return c.select("cell", F.row_number().over(Window.orderBy(~F.col("cell").rlike(r"^c\d+_(rnd|irr)$"), "chain", "irregular", "cell")).alias("place"))
 
 
-@add("route_order", f"WITH {ILLUS_SQL} SELECT illus_id, route FROM illus WHERE sp = 'eval' ORDER BY (route IS DISTINCT FROM 'specialist'), illus_id LIMIT 50")
+@add("route_order", f"WITH {ILLUS_SQL} SELECT illus_id, route, row_number() OVER (ORDER BY route IS DISTINCT FROM 'specialist', illus_id) - 1 AS place FROM illus WHERE sp = 'eval'")
 def route_order(spark, sf):
-    return illus(spark, sf).filter("sp = 'eval'").orderBy(~F.col("route").eqNullSafe("specialist"), "illus_id").limit(50).select("illus_id", "route")
+    """Those of the specialist first, then by id, numbered without one task for all."""
+    d = illus(spark, sf).filter("sp = 'eval'").select("illus_id", "route", (~F.col("route").eqNullSafe("specialist")).alias("other"))
+    return ordinals(d, ["other", "illus_id"], "place").select("illus_id", "route", "place")
 
 
 @add("latency_stats", f"WITH {GEN_SQL} SELECT model, count(latency_s)::BIGINT AS n, round(avg(latency_s), 3) AS mean, round(median(latency_s), 3) AS median FROM gen JOIN runs USING (run_id) WHERE ok AND error IS NULL AND latency_s IS NOT NULL GROUP BY model")

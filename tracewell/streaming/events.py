@@ -26,25 +26,37 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", window: str = "1 da
     )
 
 
-def merge_latest(batch: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """For foreachBatch: the latest row per key so far, kept as one table per epoch and swapped whole, so a batch that
-    runs again after a failure gives the same table."""
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[int]]:
+    """The file system, and the epochs of the whole versions of a table, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return fs, []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    whole = [int(n[6:]) for n in names if n.startswith("epoch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return fs, sorted(whole)
+
+
+def latest_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last whole version that merge_latest wrote, or None."""
+    _, epochs = _versions(spark, path)
+    return spark.read.parquet(f"{path}/epoch={epochs[-1]}") if epochs else None
+
+
+def merge_latest(batch: DataFrame, epoch: int, path: str, keys: list[str], order: str) -> None:
+    """For foreachBatch: the latest row per key so far, one version an epoch. A version is read only once whole, and an
+    epoch that runs again after a failure starts from the version before it, so the table is the same; the version
+    before last is deleted."""
     spark = batch.sparkSession
     best = lambda d: d.groupBy(*keys).agg(F.max_by(F.struct(*d.columns), F.struct(order, *keys)).alias("r")).select("r.*")
-    try:
-        old = spark.read.parquet(f"{path}/now")
-        both = best(old.unionByName(best(batch)))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        both = best(batch)
-    both.write.mode("overwrite").parquet(f"{path}/next")
-    spark.read.parquet(f"{path}/next").write.mode("overwrite").parquet(f"{path}/swap")
-    fs = spark._jvm.org.apache.hadoop.fs
-    now, swap = fs.Path(f"{path}/now"), fs.Path(f"{path}/swap")
-    there = now.getFileSystem(spark._jsc.hadoopConfiguration())
-    there.delete(now, True)
-    there.rename(swap, now)
+    fs, epochs = _versions(spark, path)
+    before = [e for e in epochs if e < epoch]
+    now = best(batch)
+    if before:
+        now = best(spark.read.parquet(f"{path}/epoch={before[-1]}").unionByName(now))
+    now.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    for old in before[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch={old}"), True)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
