@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import Symbols, add_saturating, merged_table, near_from_counts, parity_sketch, window_hashes
+from tracewell.llm.words import Symbols, add_saturating, merged_table, near_from_counts, window_hashes
 from tracewell.session import stage, unstage
 
 COUNTERS = 1 << 22

@@ -9,20 +9,17 @@ themselves are read once to count and once to draw.
 
 from __future__ import annotations
 
-import math
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.session import stage
 
-SALTS = 64
-
 
 def category(column: str):
     """Outer blanks cut, lower case, '-' and inner blanks read as '_'."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.col(column), r"^[\s ]+|[\s ]+$", "")), r"[\s -]", "_")
+    return F.regexp_replace(F.lower(F.regexp_replace(F.col(column), r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")), r"[\s\x{A0}-]", "_")
 
 
 def repair(have: dict[str, int], target: dict[str, int], floor: dict[str, int], size: int, seed: int) -> dict[str, int]:
@@ -94,8 +91,7 @@ def proportional_samples(records: DataFrame, targets: DataFrame, id_col: str, mu
     by_field = {f: sorted({r["category"] for r in asked if r["field_name"] == f}) for f in fields}
     long = stage(
         kept.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).isin(by_field[f] or [""]), F.col(f)).alias("category")) for f in fields])).alias("s"))
-        .select("id", "s.field_name", "s.category")
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")),
+        .select("id", "s.field_name", "s.category"),
         "signatures",
     )
     counted: dict[str, dict] = {f: {} for f in fields}
@@ -109,9 +105,8 @@ def proportional_samples(records: DataFrame, targets: DataFrame, id_col: str, mu
         plan += [(request, field, k or None, n) for k, n in took.items() if n]
         report += [(request, r["category"], have.get(r["category"], 0), r["needed"], took.get(r["category"], 0), have.get(r["category"], 0) < r["needed"]) for r in own]
     quota = spark.createDataFrame(plan, "request_id int, field_name string, category string, quota long")
-    # Two ranks: within a salt first, so that no task sorts a whole hot category; then the salts' counts give each its share.
     order = F.xxhash64(F.lit(seed), F.col("request_id"), F.col("id"))
-    drawn = long.join(F.broadcast(quota), (long.field_name == quota.field_name) & long.category.eqNullSafe(quota.category)).select(quota.request_id, quota.category, "quota", "id", "salt")
+    drawn = long.join(F.broadcast(quota), (long.field_name == quota.field_name) & long.category.eqNullSafe(quota.category)).select(quota.request_id, quota.category, "quota", "id")
     return _smallest_by(drawn.withColumn("o", order)).select("request_id", "category", "id"), spark.createDataFrame(
         report, "request_id int, category string, available long, needed long, taken long, short boolean"
     )
@@ -121,12 +116,10 @@ def _smallest_by(drawn: DataFrame) -> DataFrame:
     """The `quota` rows of each (request, category) with the smallest (o, id), ranked by ranges of o.
 
     o is uniform over the longs, so equal ranges of it hold about equal numbers; ranges before the quota's end are
-    taken whole and only one range is ranked.
+    taken whole and only one range is ranked. No task sorts a whole hot category.
     """
     by = ["request_id", "category"]
     ranged = drawn.withColumn("range", F.shiftright("o", 52))
-    from pyspark.sql import Window
-
     sizes = ranged.groupBy(*by, "range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(*by).orderBy("range")) - F.col("n")
     starts = sizes.withColumn("before", before).select(F.col("request_id").alias("r"), F.col("category").alias("c"), F.col("range").alias("g"), "before")
