@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +22,13 @@ class Catalog:
         def register(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = fn
+
+            @wraps(fn)
+            def run(spark: SparkSession, data_dir: str) -> DataFrame:
+                ship(spark)
+                return fn(spark, data_dir)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return fn

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -59,3 +61,19 @@ def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     all cores; one of many stays as it is, so a large table is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < per_core * cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver runs from: by path, and on a cluster also as a zip."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewell_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if not sc.master.startswith("local"):
+        to = os.path.join(tempfile.mkdtemp(prefix="tracewell-"), "tracewell")
+        sc.addPyFile(shutil.make_archive(to, "zip", root, os.path.basename(package)))
+    sc._tracewell_shipped = True
