@@ -55,3 +55,13 @@ def test_covered_share_merges_intervals():
 
     assert covered_share(np.array([True, True, False, False, False])) == pytest.approx(4 / 7)
     assert covered_share(np.array([True] * 4)) == 1.0
+
+
+def test_a_blank_split_is_another_split(spark, tmp_path):
+    from tracewell.llm.queries import _split_records
+
+    rows = [(1, " Train "), (2, " "), (3, None), (4, "eval")]
+    for name, rec, text in (("illustrations", "illus_id", "description"), ("problems", "problem_id", "statement")):
+        spark.createDataFrame([(k, split, "one two three four") for k, split in rows], f"{rec} long, split string, {text} string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["tbl"], r["rec"], r["train"]) for r in _split_records(spark, str(tmp_path)).collect()}
+    assert got == {(k, rec, train) for k in (0, 1) for rec, train in ((1, True), (2, False), (3, None), (4, False))}

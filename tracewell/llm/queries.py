@@ -17,10 +17,10 @@ def p5_found(spark, sf) -> DataFrame:
 
 
 def _split_records(spark, sf) -> DataFrame:
-    """Both tables' texts with train or not; rows of a null or blank split are in no split."""
+    """Both tables' texts with train or not; rows of a null split are in no split, a blank one is a split besides train."""
     split = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
     one = lambda name, k, rec, text: table(spark, sf, name).select(
-        F.lit(k).alias("tbl"), F.col(rec).alias("rec"), F.when(split != "", split == "train").alias("train"), F.col(text).alias("text")
+        F.lit(k).alias("tbl"), F.col(rec).alias("rec"), (split == "train").alias("train"), F.col(text).alias("text")
     )
     return one("illustrations", 0, "illus_id", "description").unionAll(one("problems", 1, "problem_id", "statement"))
 
