@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewell.functions import figures as fg
+from tracewell.functions.figure_calls import circles, constructions, segments
 from tracewell.functions.figure_parser import expand_macros, groups, named_points, point, scalar
 
 
@@ -59,9 +60,40 @@ def test_parser_inverts_emitter(pts):
     assert all(got[f"P{k}"] == pytest.approx(p, abs=1e-4) for k, p in enumerate(pts))
 
 
-def test_constraints_and_edges():
-    c = fg.constraints(r"\tkzDefTriangleCenter[circum](A,B,C)\tkzGetPoint{O} \tkzDefMidPoint(A,B)\tkzGetPoint{M} \tkzDefPointBy[projection=onto B--C](A)\tkzGetPoint{H} \tkzDefLine[bisector](B,A,C)\tkzGetPoint{r} \tkzInterLL(A,r)(B,C)\tkzGetPoint{D} \tkzInterLL(A,B)(C,D)\tkzGetPoint{X} \coordinate (M) at ($(A)!0.3!(B)$); \coordinate (Q) at ($(A)!0.3!(B)$);")
-    assert c["O"] == ("circumcenter", ["A", "B", "C"]) and c["M"] == ("midpoint", ["A", "B"]) and c["H"] == ("foot", ["A", "B", "C"])
-    assert c["D"] == ("bisector_meet", ["B", "A", "C", "B", "C"]) and c["X"] == ("intersection", ["A", "B", "C", "D"]) and c["Q"][0] == "partway" and "r" not in c
-    assert fg.edges(r"\tkzDrawPolygon(A,B,C) \tkzDrawSegment(B,A) \draw (C) -- (D) -- cycle; \tkzDrawSegments(A,D D,E)") == ["A-B", "B-C", "A-C", "A-D", "D-E", "C-D"]
-    assert fg.edges(None) == [] and fg.constraints(None) == {}
+def test_constructions():
+    c = constructions(r"\tkzDefTriangleCenter[circum](A,B,C)\tkzGetPoint{O} \tkzDefMidPoint(A,B)\tkzGetPoint{M} \tkzDefPointBy[projection=onto B--C](A)\tkzGetPoint{H} \tkzDefLine[bisector](B,A,C)\tkzGetPoint{r} \tkzInterLL(A,r)(B,C)\tkzGetPoint{D} \tkzInterLL(A,B)(C,D)\tkzGetPoint{X} \coordinate (M) at ($(A)!0.3!(B)$); \coordinate (Q) at ($(A)!0.3!(B)$);")
+    assert (c["O"].kind, c["O"].parents) == ("circumcenter", ["A", "B", "C"]) and c["M"].kind == "midpoint" and c["H"].parents == ["A", "B", "C"]
+    assert (c["D"].kind, c["D"].parents) == ("bisector_meet", ["B", "A", "C", "B", "C"]) and c["X"].parents == ["A", "B", "C", "D"] and c["Q"].kind == "partway" and c["Q"].t == 0.3 and "r" not in c
+    by = constructions(r"\tkzDefPointBy[rotation = center A angle -30.5](B) \tkzGetPoint{R}\tkzDefPointBy[symmetry=center A](B)\tkzGetPoint{S}\tkzDefPointBy[translation= from A to B](C)\tkzGetPoint{T}\tkzDefPointBy[reflection=over A--B](C)\tkzGetPoint{U}\tkzDefGravityCenter(A,B,C)\tkzGetPoint{G}\tkzDefTriangleCenter[other](A,B,C)\tkzGetPoint{N}\tkzDefMidPoint(A,B) x \tkzGetPoint{K}")
+    assert {k: (v.kind, v.parents, v.angle) for k, v in by.items()} == {"R": ("rotation", ["B", "A"], -30.5), "S": ("point_reflection", ["B", "A"], None), "T": ("translation", ["C", "A", "B"], None), "U": ("reflection", ["C", "A", "B"], None), "G": ("centroid", ["A", "B", "C"], None)}
+    calc = constructions(r"\coordinate (F) at ($(A)!(P)!(B)$);\coordinate (M) at ($ (A) ! 1/2 ! (B) $);\coordinate (N) at (1,2);\coordinate (V) at ($(A)+(B)$);")
+    assert {k: (v.kind, v.parents) for k, v in calc.items()} == {"F": ("foot", ["P", "A", "B"]), "M": ("midpoint", ["A", "B"])}
+    assert constructions(None) == {}
+
+
+def test_segments_and_circles():
+    assert segments(r"\tkzDrawPolygon(A,B,C) \tkzDrawSegment(B,A) \draw (C) -- (D) -- cycle; \tkzDrawSegments(A,D D,E)") == ["A-B", "B-C", "A-C", "C-D", "A-D", "D-E"]
+    assert segments(r"\draw[thick] (A) -- (1,2) -- (B) -- (C); \tkzDrawLine(B,A)") == ["B-C", "A-B"] and segments(None) == []
+    got = [(c.center, c.through, c.cx, c.cy, c.r) for c in circles(r"\tkzDrawCircle[red](O,A) \draw[thick] (A) circle (2); \draw (1,2) circle (3.5) (B) circle(1); \draw (C) circle (\r); \fill (D) circle (1);")]
+    assert got == [("O", "A", None, None, None), ("A", None, None, None, 2.0), (None, None, 1.0, 2.0, 3.5), ("B", None, None, None, 1.0)]
+
+
+def test_macros_and_long_chains():
+    assert expand_macros(r"\def\a{2}\newcommand{\b}{\a+1}\newcommand*\c{4}\pgfmathsetmacro\d{5}(\a,\b,\c,\d,\aa)").endswith("((2),((2)+1),(4),(5),\\aa)")
+    n = 40  # each point from the next one in the text
+    text = "".join(f"\\coordinate (P{k}) at ($(P{k + 1})+(1,0)$);" for k in range(n)) + f"\\coordinate (P{n}) at (0,0);"
+    assert named_points(text)["P0"] == (n, 0)
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([(r"\coordinate (A) at (1,2);\draw (A) circle (2);",), (None,), (r"\coordinate (A) at (1,2);\draw (A) circle (2);",), ("",)], "t string")
+    rows = df.select(fg.points_of("t").alias("p"), fg.circles_of("t").alias("c"), fg.edges_of("t").alias("e"), fg.constraints_of("t").alias("k"), fg.macros_expanded("t").alias("m")).collect()
+    assert [len(r["p"]) for r in rows] == [1, 0, 1, 0] and rows[2]["p"]["A"]["y"] == 2 and rows[0]["c"][0]["r"] == 2 and rows[0]["e"] == [] and rows[0]["k"] == {} and rows[1]["m"] is None
+    assert df.limit(0).select(fg.points_of("t")).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="()$[]{}!+-,;0123AB \\", max_size=60))
+def test_streams_never_raise(text):
+    for whole in (text, "\\draw" + text, "\\coordinate (A) at " + text, "\\tkzDefPointBy[rotation=center A angle " + text):
+        constructions(whole), segments(whole), circles(whole), expand_macros("\\def\\a" + whole)

@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from dataclasses import asdict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.figure_calls import circles, constructions, segments
 from tracewell.functions.figure_parser import expand_macros, named_points, scalar
 
 NUMBER = r"-?\d+(?:\.\d+)?"
 POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
-@F.pandas_udf(T.MapType(T.StringType(), POINT_TYPE))
-def points_of(text: pd.Series) -> pd.Series:
+def _each_once(text: pa.Array, read: Callable[[list], pa.Array]) -> pa.Array:
+    """What is read off each distinct text of a batch, dealt back to its rows."""
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    distinct = text.dictionary_encode(null_encoding="encode")
+    return read(distinct.dictionary.to_pylist()).take(distinct.indices)
+
+
+@F.arrow_udf(T.MapType(T.StringType(), POINT_TYPE))
+def points_of(text: pa.Array) -> pa.Array:
     """Name -> (x, y) of the points of a figure."""
-    return text.map(lambda t: {k: {"x": float(p[0]), "y": float(p[1])} for k, p in named_points(t).items()})
 
+    def read(texts: list) -> pa.Array:
+        found = [named_points(t) for t in texts]
+        flat = [xy for p in found for xy in p.values()]
+        x, y = (pa.array([float(p[k]) for p in flat], pa.float64()) for k in (0, 1))
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int32)
+        return pa.MapArray.from_arrays(pa.array(offsets), pa.array([k for p in found for k in p], pa.string()), pa.StructArray.from_arrays([x, y], ["x", "y"]))
+
+    return _each_once(text, read)
 
-@F.pandas_udf(T.DoubleType())
-def scalar_of(text: pd.Series) -> pd.Series:
-    return text.map(scalar).astype("Float64")
 
+@F.arrow_udf(T.DoubleType())
+def scalar_of(text: pa.Array) -> pa.Array:
+    """The value of a scalar."""
+    return _each_once(text, lambda ts: pa.array(list(map(scalar, ts)), pa.float64()))
 
-@F.pandas_udf(T.StringType())
-def macros_expanded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else expand_macros(t))
+
+@F.arrow_udf(T.StringType())
+def macros_expanded(text: pa.Array) -> pa.Array:
+    return _each_once(text, lambda ts: pa.array([None if t is None else expand_macros(t) for t in ts], pa.string()))
 
 
 def literal_points(text: Column) -> Column:
@@ -48,101 +68,29 @@ def point_names(text: Column) -> Column:
     return F.array_distinct(F.concat(*found, *drawn))
 
 
-#: Constructions of derived points: type, pattern, groups of the parents in order, group of the name.
-_P = r"([A-Za-z]\w*)"
-_GET = rf"\s*\\tkzGetPoint\{{{_P}\}}"
-_THREE = rf"\s*\(\s*{_P}\s*,\s*{_P}\s*,\s*{_P}\s*\)"
-_BY = r"\\tkzDefPointBy\[\s*"
-_CENTERS = {"circum": "circumcenter", "in": "incenter", "ortho": "orthocenter", "centroid": "centroid", "gravity": "centroid"}
-_RULES = [
-    *[(kind, re.compile(rf"\\tkzDefTriangleCenter\[\s*{key}(?:center)?\s*\]{_THREE}{_GET}", re.I), (1, 2, 3), 4) for key, kind in _CENTERS.items()],
-    *[(_CENTERS[key], re.compile(rf"\\tkzDef{macro}{_THREE}{_GET}"), (1, 2, 3), 4) for macro, key in (("CircumCenter", "circum"), ("InCenter", "in"), ("OrthoCenter", "ortho"), ("Centroid", "centroid"), ("GravityCenter", "gravity"))],
-    ("midpoint", re.compile(rf"\\tkzDefMidPoint\s*\(\s*{_P}\s*,\s*{_P}\s*\){_GET}"), (1, 2), 3),
-    ("foot", re.compile(rf"{_BY}projection\s*=\s*onto\s+{_P}\s*--\s*{_P}\s*\]\s*\(\s*{_P}\s*\){_GET}"), (3, 1, 2), 4),
-    ("reflection", re.compile(rf"{_BY}reflection\s*=\s*over\s+{_P}\s*--\s*{_P}\s*\]\s*\(\s*{_P}\s*\){_GET}"), (3, 1, 2), 4),
-    ("point_reflection", re.compile(rf"{_BY}symmetry\s*=\s*center\s+{_P}\s*\]\s*\(\s*{_P}\s*\){_GET}"), (2, 1), 3),
-    ("rotation", re.compile(rf"{_BY}rotation\s*=\s*center\s+{_P}\s+angle\s+-?[\d.]+\s*\]\s*\(\s*{_P}\s*\){_GET}"), (2, 1), 3),
-    ("translation", re.compile(rf"{_BY}translation\s*=\s*from\s+{_P}\s+to\s+{_P}\s*\]\s*\(\s*{_P}\s*\){_GET}"), (3, 1, 2), 4),
-]
-_RAY = re.compile(rf"\\tkzDefLine\[\s*bisector\s*\]{_THREE}{_GET}")
-_INTER = re.compile(rf"\\tkzInterLL\s*\(\s*{_P}\s*,\s*{_P}\s*\)\s*\(\s*{_P}\s*,\s*{_P}\s*\){_GET}")
-_CALC = re.compile(rf"\\coordinate\s*\(\s*{_P}\s*\)\s*at\s*\(\s*\$\s*\(\s*{_P}\s*\)\s*!\s*([^!]+?)\s*!\s*\(\s*{_P}\s*\)\s*\$\s*\)")
-
-
-def constraints(text: str | None) -> dict[str, tuple[str, list[str]]]:
-    """Name -> (type, parents) of derived points; the first definition counts. A line of a bisector that meets a side
-    is one construction of its own."""
-    text, out, rays = text or "", {}, {}
-    for kind, rx, parents, name in _RULES:
-        for m in rx.finditer(text):
-            out.setdefault(m[name], (kind, [m[k] for k in parents]))
-    for m in _RAY.finditer(text):
-        if m[4] not in out:
-            rays.setdefault(m[4], [m[1], m[2], m[3]])
-    for m in _INTER.finditer(text):
-        first, second, name = (m[1], m[2]), (m[3], m[4]), m[5]
-        if name in rays:
-            continue
-        met = None
-        for line, side in ((first, second), (second, first)):
-            for ray, apex in (line[::-1], line):
-                if met is None and ray in rays and rays[ray][1] == apex:
-                    met = ("bisector_meet", [*rays[ray], *side])
-        out.setdefault(name, met or ("intersection", [*first, *second]))
-    for m in _CALC.finditer(text):
-        name, a, mid, b = m[1], m[2], m[3].strip("() \t"), m[4]
-        if name in rays:
-            continue
-        if mid in ("0.5", "1/2"):
-            out.setdefault(name, ("midpoint", [a, b]))
-        elif re.fullmatch(r"-?[\d.]+", mid):
-            out.setdefault(name, ("partway", [a, b]))
-        elif re.fullmatch(r"[A-Za-z]\w*", mid):
-            out.setdefault(name, ("foot", [mid, a, b]))
-    return out
-
-
-@F.pandas_udf(T.MapType(T.StringType(), T.StructType([T.StructField("type", T.StringType()), T.StructField("parents", T.ArrayType(T.StringType()))])))
-def constraints_of(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: {k: {"type": kind, "parents": parents} for k, (kind, parents) in constraints(t).items()})
-
-
-_POLYGON = re.compile(r"\\tkzDrawPolygon\(([^)]*)\)")
-_SEGMENT = re.compile(r"\\tkzDraw(?:Segments?|Line)\(([^)]*)\)")
-_DRAW = re.compile(r"\\draw\b([^;]*);")
-_SPOT = re.compile(rf"\(\s*{_P}\s*\)")
-
-
-def edges(text: str | None) -> list[str]:
-    """The drawn segments as 'A-B' (names in order), each once whatever its direction; polygons and cycles close."""
-    found: dict[str, None] = {}
-
-    def put(a: str, b: str) -> None:
-        if a and b and a != b:
-            found.setdefault("-".join(sorted((a, b))))
-
-    for m in _POLYGON.finditer(text or ""):
-        names = [n.strip() for n in m[1].split(",") if n.strip()]
-        for a, b in zip(names, [*names[1:], *names[:1]]):
-            put(a, b)
-    for m in _SEGMENT.finditer(text or ""):
-        for pair in m[1].strip().split():
-            names = [n.strip() for n in pair.split(",")]
-            if len(names) == 2:
-                put(*names)
-    for m in _DRAW.finditer(text or ""):
-        chain = [s[1] if (s := _SPOT.search(part)) else "" for part in m[1].split("--")]
-        for a, b in zip(chain, chain[1:]):
-            put(a, b)
-        named = [c for c in chain if c]
-        if "cycle" in m[1] and len(named) > 1:
-            put(named[-1], named[0])
-    return list(found)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def edges_of(text: pd.Series) -> pd.Series:
-    return text.map(edges)
+_CONSTRUCTION = T.StructType([T.StructField("type", T.StringType()), T.StructField("parents", T.ArrayType(T.StringType())), T.StructField("angle", T.DoubleType()), T.StructField("t", T.DoubleType())])
+_CIRCLE = T.StructType([T.StructField("center", T.StringType()), T.StructField("through", T.StringType()), T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType()), T.StructField("r", T.DoubleType())])
+
+
+@F.arrow_udf(T.MapType(T.StringType(), _CONSTRUCTION))
+def constraints_of(text: pa.Array) -> pa.Array:
+    """Name -> construction of the derived points of a figure."""
+    kind = pa.map_(pa.string(), pa.struct([("type", pa.string()), ("parents", pa.list_(pa.string())), ("angle", pa.float64()), ("t", pa.float64())]))
+    read = lambda t: [(k, {"type": c.kind, "parents": c.parents, "angle": c.angle, "t": c.t}) for k, c in constructions(t).items()]
+    return _each_once(text, lambda ts: pa.array(list(map(read, ts)), kind))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def edges_of(text: pa.Array) -> pa.Array:
+    """The drawn segments of a figure, as 'A-B'."""
+    return _each_once(text, lambda ts: pa.array(list(map(segments, ts)), pa.list_(pa.string())))
+
+
+@F.arrow_udf(T.ArrayType(_CIRCLE))
+def circles_of(text: pa.Array) -> pa.Array:
+    """The drawn circles of a figure."""
+    kind = pa.list_(pa.struct([("center", pa.string()), ("through", pa.string()), ("cx", pa.float64()), ("cy", pa.float64()), ("r", pa.float64())]))
+    return _each_once(text, lambda ts: pa.array([[asdict(c) for c in circles(t)] for t in ts], kind))
 
 
 def paint_points_last(text: Column) -> Column:
