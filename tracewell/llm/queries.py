@@ -134,6 +134,12 @@ def p4_rates(spark, sf) -> DataFrame:
     return rows.join(cut, ["tbl", "rec"], "left").groupBy("tbl", "maker").agg(F.count("*").alias("n"), F.count("cut").alias("cut"), F.round(F.count("cut") / F.count("*"), 6).alias("rate"))
 
 
+@CATALOG.add("p4_by")
+def p4_by(spark, sf) -> DataFrame:
+    """Cut texts by how they end and what shows it: a longer copy, an opening left open, or the closing word."""
+    return truncation.cut_texts(_results(spark, sf)).groupBy(_tbl("gen_results", "chat_results"), "ending", "by").agg(F.count("*").alias("n"))
+
+
 @CATALOG.add("p5_sizes")
 def p5_sizes(spark, sf) -> DataFrame:
     """Groups of near-duplicates by size."""
