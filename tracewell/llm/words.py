@@ -17,14 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII letters in lower case and digits stay, all else is a blank.
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
 def words(text: str | None) -> list[str]:
     if not text:
         return []
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _WORD.findall(text.lower())
+    if text.isascii():
+        return text.encode().translate(_ASCII).decode().split()
+    return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
 
 
 class Symbols(dict):
