@@ -112,7 +112,7 @@ def p2_rates(spark, sf) -> DataFrame:
 
 
 def _samples(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return sample.proportional_samples(table(spark, sf, "problems"), table(spark, sf, "sample_targets"), "problem_id", "statement", ("topic", "source"))
+    return sample.proportional_samples(table(spark, sf, "problems"), table(spark, sf, "sample_targets"), "problem_id", "statement", ("topic", "source"), latest="loaded_at")
 
 
 @CATALOG.add("p3_sample")
@@ -120,6 +120,18 @@ def p3_sample(spark, sf) -> DataFrame:
     return _samples(spark, sf)[0].withColumnRenamed("id", "problem_id")
 
 
+@CATALOG.add(
+    "p3_availability",
+    r"""
+WITH p AS (SELECT problem_id, topic, source FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY loaded_at DESC) AS rn FROM problems WHERE statement IS NOT NULL) WHERE rn = 1),
+l AS (SELECT problem_id, 'topic' AS field_name, topic AS c FROM p UNION ALL SELECT problem_id, 'source', source FROM p),
+k AS (SELECT field_name, regexp_replace(lower(regexp_replace(c, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')), '[\s\x{00A0}-]', '_', 'g') AS category, count(*) AS n FROM l GROUP BY ALL)
+SELECT t.request_id, t.field_name, t.category, coalesce(k.n, 0)::BIGINT AS available, greatest(t.min_rows, ceil(t.target_pm * t.sample_rows / 1000.0))::BIGINT AS needed FROM sample_targets t LEFT JOIN k USING (field_name, category)""",
+)
+def p3_availability(spark, sf) -> DataFrame:
+    return _samples(spark, sf)[1].select("request_id", "field_name", "category", "available", "needed")
+
+
 @CATALOG.add("p3_report")
 def p3_report(spark, sf) -> DataFrame:
     return _samples(spark, sf)[1]
