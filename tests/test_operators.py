@@ -7,6 +7,7 @@ from tracewell.operators import curate as cu
 from tracewell.operators import generate, report
 from tracewell.operators.components import connected_components
 from tracewell.operators.rates import live_rate, wilson
+from tracewell.session import clear_staged, stage, unstage
 from tracewell.sources import files
 from tracewell.streaming import events as ev
 
@@ -122,3 +123,12 @@ def test_merge_latest_is_repeatable(spark, tmp_path):
     assert {tuple(r) for r in ev.latest_table(spark, path).collect()} == {("a", 2, 11), ("b", 1, 20), ("c", 1, 30)}
     (tmp_path / "lww" / "epoch=4").mkdir()  # a version that broke off
     assert ev.latest_table(spark, path).count() == 3
+
+
+def test_staged_tables_are_cleared(spark):
+    a, b = stage(spark.range(5), "a"), stage(spark.range(6), "b")
+    assert a.count() == 5
+    unstage(a)
+    assert b.count() == 6 and clear_staged(spark) >= 1 and clear_staged(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist|NOT_FOUND"):
+        spark.read.parquet(b._tracewell_path).count()

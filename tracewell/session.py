@@ -35,10 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new name in the shared folder; clear_staged deletes what is there."""
+    path = f"{shared_dir(spark)}/tracewell/{what}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+#: Paths in the shared folder by application: names only.
+_STAGED: dict[str, set[str]] = {}
+
+
 def stage(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df once into the shared folder and reads it back: cuts lineage, outlives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{what}-{uuid.uuid4().hex}"
+    path = shared_path(spark, what)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -48,12 +59,24 @@ def stage(df: DataFrame, what: str, partition_by: list[str] | None = None) -> Da
     return staged
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGED.get(spark.sparkContext.applicationId, set()).discard(where)
+
+
 def unstage(*staged: DataFrame) -> None:
     """Deletes staged tables that no later result reads."""
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tracewell_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._tracewell_path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes all that this application still has in the shared folder, once its results are written; the number."""
+    left = list(_STAGED.get(spark.sparkContext.applicationId, ()))
+    for path in left:
+        _delete(spark, path)
+    return len(left)
 
 
 def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
