@@ -43,18 +43,17 @@ def data(seed):
 def test_index_equals_brute_force(seed):
     docs, items = data(seed)
     index = ItemIndex([(k, words(t)) for k, t in items])
-    got = {(d, index.items[k][0]) for d, t in docs for k in index.held(words(t))}
+    got = {(d, int(index.items[k])) for d, t in docs for k in index.held(words(t))}
     assert got == brute(docs, items) and got
 
 
-def test_table_and_shards(spark, monkeypatch):
+def test_table_and_shards(spark):
     docs, items = data(4)
     d = spark.createDataFrame(docs + docs[:5] + [(None, items[0][1])], "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
     i = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert {(r[0], r[1]) for r in leaked_items(d, "doc_id", "text", i, "item_id", "text").collect()} == want
-    monkeypatch.setattr("tracewell.llm.leak.SHARD_ITEMS", 20)
-    assert {(r[0], r[1]) for r in leaked_items(d, "doc_id", "text", i, "item_id", "text").collect()} == want
+    assert {(r[0], r[1]) for r in leaked_items(d, "doc_id", "text", i, "item_id", "text", shard_bytes=3_000).collect()} == want
 
 
 def test_empty_tables(spark):

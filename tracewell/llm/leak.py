@@ -6,71 +6,119 @@ queries the index by block-max WAND. Impacts are scaled so that 1 is the least s
 consecutive words of the item can have (the minimum over the item's own windows), so retrieving all at 1 and above
 loses nothing. What is retrieved is verified word by word.
 
-The index is built from the test items, which are few: items are read in shards of a checked number, each shard's index
-is broadcast, and the documents are scanned once a shard.
+Items are dealt into shards by the bytes of their texts, which bound an index's memory (about ten times them); each
+shard's index is built in a task and written to the shared folder, so neither the driver nor a broadcast ever holds
+items. The documents are read and split into words once, in chunks; each chunk meets one shard's index after another.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.shelf import get, put
 from tracewell.llm.words import Symbols, window_hashes, words
+from tracewell.session import shared_path
 
 RUN = 12
 K1, B = 1.2, 0.75
 BLOCK = 16
-SHARD_ITEMS = 20_000
-SHARD_BYTES = 32 << 20
+#: Bytes of the items' texts in one shard, and code points of documents that meet one shard's index before the next.
+SHARD_BYTES = 16 << 20
+CHUNK = 1 << 25
 #: A score of 1, but for rounding.
 ENOUGH = 1 - 1e-6
 
 
 class ItemIndex:
-    """BM25 postings of the items with `run` words or more; impacts over the item's own threshold.
+    """BM25 postings of the items with `run` words or more, in arrays; impacts over the item's own threshold.
 
     Terms are word triples, by hash: a run of `run` words holds run - 2 of them, and single words of scenes are too
     common to tell items apart.
     """
 
-    def __init__(self, items: list[tuple[object, list[str]]], run: int = RUN) -> None:
+    #: Postings kept as lists once they were asked for, all together.
+    KEPT = 1 << 20
+
+    def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN) -> None:
         self.run, self.symbols = run, Symbols()
-        self.items = [(key, ws) for key, ws in items if len(ws) >= run]
-        terms = [self._terms(ws) for _, ws in self.items]
-        df = Counter(t for own in terms for t in set(own))
-        n, mean = len(terms), sum(map(len, terms)) / max(1, len(terms))
-        self.grams: list[set[tuple]] = []
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for k, ((_, ws), own) in enumerate(zip(self.items, terms)):
-            norm = K1 * (1 - B + B * len(own) / mean)
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm) for t, tf in Counter(own).items()}
-            least = min(sum(impact[t] for t in set(own[i : i + run - 2])) for i in range(len(ws) - run + 1))
-            for t, x in impact.items():
-                postings.setdefault(t, []).append((k, x / least))
-            self.grams.append({tuple(ws[i : i + run]) for i in range(len(ws) - run + 1)})
-        self.keys = np.array(sorted(postings), np.uint64)
-        self.terms: list[tuple] = []
-        for t in self.keys.tolist():
-            docs, impacts = [k for k, _ in postings[t]], [x for _, x in postings[t]]
-            ends = [docs[min(i + BLOCK, len(docs)) - 1] for i in range(0, len(docs), BLOCK)]
-            tops = [max(impacts[i : i + BLOCK]) for i in range(0, len(docs), BLOCK)]
-            self.terms.append((max(tops), docs, impacts, ends, tops))
-        self.bounds = np.array([t[0] for t in self.terms])
-
-    def _terms(self, ws: list[str]) -> list[int]:
-        return window_hashes(np.fromiter(map(self.symbols.__getitem__, ws), np.uint32, len(ws))).tolist()
+        items = [(key, ws) for key, ws in items if len(ws) >= run]
+        self.items = np.array([key for key, _ in items], np.int64)
+        self.texts = [" ".join(ws) for _, ws in items]
+        sizes = np.array([len(ws) for _, ws in items], np.int64)
+        own = [np.fromiter(map(self.symbols.__getitem__, ws), np.uint32, len(ws)) for _, ws in items]
+        self.starts = [np.concatenate([[0], np.cumsum([len(w) + 1 for w in ws])]).astype(np.int32) for _, ws in items]
+        self.runs = [np.sort(window_hashes(s, run)) for s in own]
+        self.where = [np.argsort(window_hashes(s, run), kind="stable").astype(np.int32) for s in own]
+        lengths = sizes - 2
+        terms = np.concatenate([*map(window_hashes, own), np.empty(0, np.uint64)])
+        of = np.repeat(np.arange(len(items)), lengths)
+        order = np.lexsort((of, terms))
+        t, d = terms[order], of[order]
+        first = np.ones(len(t), bool)
+        first[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        at = np.flatnonzero(first)
+        tf = np.diff(np.append(at, len(t)))
+        self.docs = d[at].astype(np.int32)
+        self.keys, self.first = np.unique(t[at], return_index=True)
+        self.first = np.append(self.first, len(at))
+        df = np.diff(self.first)
+        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1e-9, lengths.mean() if len(lengths) else 1))
+        impacts = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
+        # Each item's threshold: the least sum over the distinct terms of one of its runs.
+        spread = np.empty(len(t))
+        spread[order] = np.repeat(impacts, tf)
+        again = np.bincount(self.docs[tf > 1], minlength=len(items)) > 0
+        least, begin = np.ones(len(items)), np.concatenate([[0], np.cumsum(lengths)])
+        width = run - 2
+        for k in range(len(items)):
+            x, own_terms = spread[begin[k] : begin[k + 1]], terms[begin[k] : begin[k + 1]]
+            if again[k]:
+                least[k] = min(sum(dict(zip(own_terms[i : i + width].tolist(), x[i : i + width].tolist())).values()) for i in range(len(x) - width + 1))
+            else:
+                sums = np.concatenate([[0.0], np.cumsum(x)])
+                least[k] = (sums[width:] - sums[:-width]).min()
+        self.impacts = impacts / least[self.docs]
+        self.bounds = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.keys) else np.empty(0)
+        self.lists: dict[int, tuple] = {}
+        self.kept = 0
+
+    def term(self, k: int) -> tuple:
+        """(bound, items, impacts, block ends, block maxima) of a term."""
+        if (found := self.lists.get(k)) is None:
+            a, b = self.first[k], self.first[k + 1]
+            docs, impacts = self.docs[a:b], self.impacts[a:b]
+            blocks = np.arange(0, b - a, BLOCK)
+            found = (float(self.bounds[k]), docs.tolist(), impacts.tolist(), docs[np.minimum(blocks + BLOCK, b - a) - 1].tolist(), np.maximum.reduceat(impacts, blocks).tolist())
+            if self.kept > self.KEPT:
+                self.lists.clear()
+                self.kept = 0
+            self.lists[k] = found
+            self.kept += int(b - a)
+        return found
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"symbols": Symbols(), "lists": {}, "kept": 0}
+
+    def holds(self, k: int, run_hash: int, words_: list[str]) -> bool:
+        """Whether the item has this run of words, of this hash."""
+        runs, text, starts = self.runs[k], self.texts[k], self.starts[k]
+        said = " ".join(words_)
+        for i in range(runs.searchsorted(run_hash), runs.searchsorted(run_hash, "right")):
+            place = self.where[k][i]
+            if text[starts[place] : starts[place + self.run] - 1] == said:
+                return True
+        return False
 
     def above(self, passage: set[int], threshold: float = ENOUGH) -> list[int]:
         """The items whose score for the passage (places of its terms in the index) reaches the threshold, by
         block-max WAND."""
-        lists = [self.terms[t] for t in passage]
+        lists = [self.term(t) for t in passage]
         # cursor: [current item, upper bound, place, items, impacts, block ends, block maxima]
         cursors = [[x[1][0], x[0], 0, x[1], x[2], x[3], x[4]] for x in lists]
         cursors.sort(key=_item)
@@ -122,7 +170,8 @@ class ItemIndex:
         run, hits = self.run, {}
         if len(ws) < run or not len(self.keys):
             return hits
-        h = window_hashes(np.fromiter(map(self.symbols.__getitem__, ws), np.uint32, len(ws)))
+        symbols = np.fromiter(map(self.symbols.__getitem__, ws), np.uint32, len(ws))
+        h, whole = window_hashes(symbols), None
         at = np.minimum(self.keys.searchsorted(h), len(self.keys) - 1)
         known = self.keys[at] == h
         sums = np.concatenate([[0.0], np.cumsum(np.where(known, self.bounds[at], 0.0))])
@@ -132,9 +181,9 @@ class ItemIndex:
             if sums[b] - sums[a] < ENOUGH:  # not even all upper bounds together reach it: no first pivot
                 continue
             for k in self.above(set(at[a:b][known[a:b]].tolist())):
-                grams = self.grams[k]
+                whole = window_hashes(symbols, run) if whole is None else whole
                 for i in range(a, min(a + run, len(ws) - run + 1)):
-                    if tuple(ws[i : i + run]) in grams:
+                    if self.holds(k, whole[i], ws[i : i + run]):
                         hits.setdefault(k, set()).add(i)
         return hits
 
@@ -164,37 +213,66 @@ def _forward(c: list, target: int) -> None:
     c[0], c[2] = docs[at], at
 
 
-def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, run: int = RUN) -> DataFrame:
+def _build(items: DataFrame, path: str, run: int) -> list[int]:
+    """Builds the index of each shard of (shard, item, text) in a task of its own; gives the shards that have items."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                put(path, f"index-{now}", ItemIndex(held, run))
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], ["shard"])
+
+        for batch in batches:
+            for shard, item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
+                    yield from close()
+                    now, held = shard, []
+                held.append((item, words(text)))
+        yield from close()
+
+    built = items.repartition("shard").sortWithinPartitions("shard", "item", "text").mapInArrow(build, "shard int")
+    return sorted(r["shard"] for r in built.collect())
+
+
+def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, run: int = RUN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, item, runs, words): documents with a run of `run` or more consecutive words that is also one of the item;
     runs counts the places, words the document's words within them.
 
-    Null and blank texts and items under `run` words match nothing; repeated rows count once; null ids are ignored.
+    Null and blank texts and items under `run` words match nothing; repeated rows count once; null ids are ignored;
+    empty tables give an empty result. Jobs run while the result is built.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null")
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES))
+    items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    deal = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-size // shard_bytes)))).cast("int")
+    path = shared_path(spark, "items")
+    shards = _build(items.select(deal.alias("shard"), "item", "text"), path, run)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).cast("string").alias("text")).filter("doc is not null and text is not null")
-    schema = f"{doc_id} long, {item_id} long, runs int, words int"
-
-    def scan(index):
-        def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = index.value
-            for batch in batches:
-                out = []
-                for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    for k, places in own.held(words(text)).items():
-                        covered = set().union(*(range(p, p + own.run) for p in places))
-                        out.append((doc, own.items[k][0], len(places), len(covered)))
-                if out:
-                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], [doc_id, item_id, "runs", "words"])
-
-        return run_all
-
-    parts = []
-    for k in range(shards):
-        rows = sorted({(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()})
-        index = ItemIndex([(key, words(text)) for key, text in rows], run)
-        parts.append(texts.mapInArrow(scan(spark.sparkContext.broadcast(index)), schema))
-    return reduce(DataFrame.unionAll, parts).groupBy(doc_id, item_id).agg(F.max("runs").alias("runs"), F.max("words").alias("words"))
+    schema, types = f"{doc_id} long, {item_id} long, runs int, words int", (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        chunk, n = [], 0
+        for batch in batches:
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                chunk.append((doc, words(text)))
+                n += len(text)
+                if n > CHUNK:
+                    yield chunk
+                    chunk, n = [], 0
+        yield chunk
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            out = []
+            for shard in shards if chunk else ():
+                index = get(path, f"index-{shard}")
+                for doc, ws in chunk:
+                    for k, places in index.held(ws).items():
+                        covered = set().union(*(range(p, p + run) for p in places))
+                        out.append((doc, int(index.items[k]), len(places), len(covered)))
+            for k in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 10_000]), types)], [doc_id, item_id, "runs", "words"])
+
+    return texts.mapInArrow(scan, schema).groupBy(doc_id, item_id).agg(F.max("runs").alias("runs"), F.max("words").alias("words"))
