@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import helpers as h
-from tracewell.llm.overlap import covered_share, split_overlaps
+from tracewell.llm.overlap import coverage, spans, split_overlaps
+from tracewell.llm.words import words
 
 SCHEMA = "tbl int, rec long, train boolean, text string"
 
@@ -29,14 +31,14 @@ def test_overlaps_equal_brute_force(spark, seed, passages):
     got, found = run(spark, rows, passages=passages)
     assert got == brute(rows) and got
     for r in found:
-        assert 0 < r["covered"] <= 1 and 3 * r["common"] >= r["n_train"] + r["n_held"]
+        assert 0 < sum(x["end"] - x["start"] for x in r["spans"]) <= r["words"] and 3 * r["common"] >= r["n_train"] + r["n_held"]
 
 
 def test_copies_repeats_and_same_text_in_both_tables(spark):
     text = h.scene(random.Random(3), 5)
     rows = [(0, 1, True, text), (0, 1, True, text), (0, 2, False, text), (0, 3, False, text), (1, 4, False, text)]
     got, found = run(spark, rows)
-    assert got == {(0, 1, 2), (0, 1, 3)} and all(r["covered"] == 1.0 for r in found)
+    assert got == {(0, 1, 2), (0, 1, 3)} and all([(x["start"], x["end"]) for x in r["spans"]] == [(0, r["words"])] for r in found)
 
 
 def test_empty_nulls_and_one_sided(spark):
@@ -50,11 +52,27 @@ def test_extra_columns(spark):
     assert [(r["train_id"], r["held_id"]) for r in split_overlaps(df).collect()] == [(1, 2)]
 
 
-def test_covered_share_merges_intervals():
-    import numpy as np
+def test_spans_are_merged_windows():
+    assert spans(np.array([True, True, False, False, False, True])) == [{"start": 0, "end": 4}, {"start": 5, "end": 8}]
+    assert spans(np.array([True] * 4)) == [{"start": 0, "end": 6}] and spans(np.zeros(3, bool)) == []
 
-    assert covered_share(np.array([True, True, False, False, False])) == pytest.approx(4 / 7)
-    assert covered_share(np.array([True] * 4)) == 1.0
+
+def test_coverage_merges_over_all_training_texts(spark):
+    rng = random.Random(6)
+    rows = [(0, i, rng.random() < 0.7, t) for i, t in h.corpus(6, 25, 6)]
+    want: dict[int, set[int]] = {}
+    texts = {i: t for _, i, _, t in rows}
+    for _, a, b in brute(rows):
+        w, own = words(texts[b]), h.triple_set(texts[a])
+        want.setdefault(b, set()).update(*[range(k, k + 3) for k in range(len(w) - 2) if tuple(w[k : k + 3]) in own])
+    got = {r["held_id"]: (r["covered"], r["words"]) for r in coverage(split_overlaps(spark.createDataFrame(rows + rows[:9], SCHEMA))).collect()}
+    assert got == {b: (len(v), len(words(texts[b]))) for b, v in want.items()} and got
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = h.scene(random.Random(1), 5), h.scene(random.Random(2), 5)
+    rows = [(0, 1, True, a), (0, 2, False, a), (0, 2, False, b), (0, 3, False, b), (0, 4, True, b)]
+    assert run(spark, rows)[0] == {(0, 1, 2), (0, 4, 2), (0, 4, 3)}
 
 
 def test_a_blank_split_is_another_split(spark, tmp_path):

@@ -4,7 +4,8 @@ The evaluation records' words become symbols, one character each, and their rare
 near text shares one of them, see words.prefix_order) are the passages of Aho-Corasick automata. Passages that no
 training text holds among its own rarest triples are dropped first, by a bit table of fixed size. The automata are
 sharded by a bound on their passages; each shard scans all training texts. Matched evaluation records are checked
-exactly, and the intervals they share with the training text merge into their coverage.
+exactly, and the intervals they share with training texts merge into their coverage. Equal evaluation texts are one text
+of the automata, and dealt to their records at the end.
 
 The evaluation shards are read by the scanning tasks from the shared folder, one shard at a time, so neither the
 driver nor a broadcast ever holds them; the training texts are never shuffled.
@@ -12,8 +13,6 @@ driver nor a broadcast ever holds them; the training texts are never shuffled.
 
 from __future__ import annotations
 
-import pickle
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,9 +22,10 @@ import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.shelf import get, put
 from tracewell.llm.words import Symbols, add_saturating, merged_table, near_from_counts, window_hashes
 from tracewell.session import stage, unstage
 
@@ -145,8 +145,8 @@ def _train_bits(train: DataFrame) -> np.ndarray:
 
 
 def _passages(held_out: DataFrame, bits, buckets: int) -> DataFrame:
-    """(bucket, tbl, rec, symbols, at, size, n, sketch): where in the evaluation text its passages start. Copies share
-    a bucket."""
+    """(bucket, tbl, rec, symbols, at, size, n, sketch): where in the evaluation text, named by rec, its passages
+    start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,29 +158,25 @@ def _passages(held_out: DataFrame, bits, buckets: int) -> DataFrame:
                 if len(at):
                     out.append((xxhash.xxh3_64_intdigest(s.tobytes()) % buckets, tbl, rec, s.tobytes(), at.tobytes(), len(at), n, sketch))
             if out:
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+                types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["bucket", "tbl", "rec", "symbols", "at", "size", "n", "sketch"])
 
     return held_out.select("tbl", "rec", "flags", "n", "sketch", "symbols").mapInArrow(
-        run, "bucket int, tbl int, rec long, symbols binary, at binary, size int, n int, sketch binary"
+        run, "bucket int, tbl int, rec string, symbols binary, at binary, size int, n int, sketch binary"
     )
 
 
 class _Automaton:
-    """The passages of some buckets; equal evaluation texts are one entry."""
+    """The passages of some buckets."""
 
     def __init__(self, fs: pafs.FileSystem, root: str, buckets: list[int]) -> None:
         found = pads.dataset([f.path for b in buckets for f in fs.get_file_info(pafs.FileSelector(f"{root}/bucket={b}")) if f.path.endswith(".parquet")], filesystem=fs, format="parquet")
-        texts: dict[tuple, int] = {}
         self.entries: list[tuple] = []
         hits: dict[str, list[int]] = {}
         for batch in found.to_batches(columns=["tbl", "rec", "symbols", "at", "n", "sketch"]):
             for tbl, rec, s, at, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k := texts.get((tbl, s))) is not None:
-                    self.entries[k][4].append(rec)
-                    continue
-                k = texts[tbl, s] = len(self.entries)
-                self.entries.append((int.from_bytes(sketch, "little"), n, tbl, s, [rec]))
+                k = len(self.entries)
+                self.entries.append((int.from_bytes(sketch, "little"), n, tbl, s, rec))
                 text = _characters(np.frombuffer(s, np.uint32), tbl).tobytes().decode("utf-32-le")
                 for passage in {text[i : i + 3] for i in np.frombuffer(at, np.int32).tolist()}:
                     if passage in hits:
@@ -193,8 +189,8 @@ class _Automaton:
             self.automaton.add_word(passage, k)
         self.automaton.make_automaton()
 
-    def near(self, tbl: int, flags: bytes, n: int, sketch: bytes, s: np.ndarray, text: str) -> Iterator[tuple[int, int, int, int, float]]:
-        """(record, common, n train, n held out, covered share) of the evaluation records near to the training text."""
+    def near(self, tbl: int, flags: bytes, n: int, sketch: bytes, s: np.ndarray, text: str) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
+        """(record, common, n train, n held out, shared windows) of the evaluation records near to the training text."""
         found: set[int] = set()
         where = self.where
         for end, k in self.automaton.iter(text):
@@ -204,7 +200,7 @@ class _Automaton:
             return
         own, entries, u = int.from_bytes(sketch, "little"), self.entries, None
         for k in found:
-            other, m, held_tbl, held, records = entries[k]
+            other, m, held_tbl, held, rec = entries[k]
             if 3 * (own ^ other).bit_count() > n + m or held_tbl != tbl:
                 continue
             if u is None:
@@ -213,8 +209,17 @@ class _Automaton:
             shared = u[np.minimum(u.searchsorted(order), n - 1)] == order
             common = len(np.unique(order[shared]))
             if near_from_counts(common, n, m):
-                for rec in records:
-                    yield rec, common, n, m, covered_share(shared)
+                yield rec, common, n, m, shared
+
+
+def spans(shared: np.ndarray, width: int = 3) -> list[dict[str, int]]:
+    """The intervals of words [start, end) within matched windows, merged."""
+    change = np.zeros(len(shared) + width, np.int32)
+    at = np.flatnonzero(shared)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + width, -1)
+    inside = np.diff((np.cumsum(change) > 0).astype(np.int8), prepend=np.int8(0))
+    return [{"start": a, "end": b} for a, b in zip(np.flatnonzero(inside > 0).tolist(), np.flatnonzero(inside < 0).tolist())]
 
 
 def _build(spark, path: str, shards: list[list[int]]) -> None:
@@ -224,37 +229,19 @@ def _build(spark, path: str, shards: list[list[int]]) -> None:
         fs, root = pafs.FileSystem.from_uri(path)
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                name = f"{root}/_automaton-{k}"
-                part = f"{name}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as out:
-                    out.write(pickle.dumps(_Automaton(fs, root, shards[k]), protocol=5))
-                fs.move(part, name)  # a task that runs twice leaves one whole file
+                put(path, f"automaton-{k}", _Automaton(fs, root, shards[k]))
                 yield batch.slice(0, 0)
 
     spark.range(0, len(shards), 1, len(shards)).mapInArrow(run, "id long").count()
 
 
-def _built(path: str, k: int) -> _Automaton:
-    fs, root = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(f"{root}/_automaton-{k}") as f:
-        return pickle.loads(f.read())
-
-
-def covered_share(shared: np.ndarray, width: int = 3) -> float:
-    """The share of the words within matched windows, their intervals merged."""
-    change = np.zeros(len(shared) + width, np.int32)
-    at = np.flatnonzero(shared)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + width, -1)
-    return float((np.cumsum(change)[:-1] > 0).mean())
-
-
 def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
-    """(tbl, train_id, held_id, common, n_train, n_held, covered) of every training record and evaluation record of the
-    same table that are near. records: tbl int, rec, train boolean, text.
+    """(tbl, train_id, held_id, common, n_train, n_held, words, spans) of every training record and evaluation record of
+    the same table that are near; spans are the intervals of the evaluation record's words that they share. records: tbl
+    int, rec, train boolean, text.
 
     Null or blank texts and texts under three words are near to nothing; rows with null train or rec are ignored; rows
-    that come twice count once; an empty table gives an empty result.
+    that come twice count once; an empty table gives an empty result. Jobs run while the result is built.
     """
     spark = records.sparkSession
     words = stage(encoded(records.filter("train is not null")), "words")
@@ -264,7 +251,10 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
     train, held_out = texts.filter("train"), texts.filter("not train")
     size = held_out.agg(F.sum(F.length("symbols")) / 8).first()[0] or 0
     bits = spark.sparkContext.broadcast(_train_bits(train))
-    held = stage(_passages(held_out, bits, 1 + int(size // BUCKET)).repartition("bucket"), "passages", ["bucket"])
+    keyed = held_out.withColumn("held_id", F.col("rec")).withColumn("rec", F.md5("symbols"))
+    members = stage(keyed.select("tbl", "rec", "held_id").distinct(), "members")
+    once = keyed.dropDuplicates(["tbl", "rec"])
+    held = stage(_passages(once, bits, 1 + int(size // BUCKET)).repartition("bucket"), "passages", ["bucket"])
     shards: list[tuple[int, list[int]]] = []
     for row in held.groupBy("bucket").agg(F.sum("size").alias("n")).orderBy("bucket").collect():
         if not shards or shards[-1][0] + row["n"] > passages:
@@ -276,22 +266,36 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = None
             for batch in batches:
-                shard = shard or _built(path, k)
+                shard = shard or get(path, f"automaton-{k}")
                 out = []
                 for tbl, rec, flags, n, sketch, s in _rows(batch, 5):
                     text = _characters(s, tbl).tobytes().decode("utf-32-le")
-                    out += [(tbl, rec, *found) for found in shard.near(tbl, flags, n, sketch, s, text)]
+                    out += [(tbl, rec, *found, len(shared) + 2, spans(shared)) for *found, shared in shard.near(tbl, flags, n, sketch, s, text)]
                 if out:
-                    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "train_id", "held_id", "common", "n_train", "n_held", "covered"])
+                    types = (pa.int32(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "train_id", "rec", "common", "n_train", "n_held", "words", "spans"])
 
         return run
 
-    schema = "tbl int, train_id long, held_id long, common int, n_train int, n_held int, covered double"
+    schema = "tbl int, train_id long, rec string, common int, n_train int, n_held int, words int, spans array<struct<start: int, end: int>>"
+    columns = ["tbl", "train_id", "held_id", "common", "n_train", "n_held", "words", "spans"]
     if not shards:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).withColumn("held_id", F.col("rec").cast("long")).select(*columns)
     _build(spark, path, [own for _, own in shards])
     rows = train.select("tbl", "rec", "flags", "n", "sketch", "symbols")
     parts = rows.rdd.getNumPartitions()
     rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, parts // 4))
-    return reduce(DataFrame.unionAll, (rows.mapInArrow(scan(k), schema) for k in range(len(shards)))).dropDuplicates(["tbl", "train_id", "held_id"])
+    found = reduce(DataFrame.unionAll, (rows.mapInArrow(scan(k), schema) for k in range(len(shards)))).dropDuplicates(["tbl", "train_id", "rec"])
+    return found.join(members, ["tbl", "rec"]).select(*columns)
+
+
+def coverage(found: DataFrame) -> DataFrame:
+    """(tbl, held_id, pairs, words, covered): for each evaluation record of split_overlaps the words that lie in an
+    interval shared with any of its training records. Equal intervals are folded before they are sorted, so a record
+    that very many share costs its own length, not their number."""
+    by = ["tbl", "held_id"]
+    each = found.select(*by, F.inline("spans")).distinct()
+    before = F.max("end").over(Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    more = F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0))
+    covered = each.select(*by, more.alias("more")).groupBy(*by).agg(F.sum("more").alias("covered"))
+    return found.groupBy(*by).agg(F.count("*").alias("pairs"), F.max("words").alias("words")).join(covered, by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog import Catalog, table
 from tracewell.llm import encode, leak, neardup, overlap, pairs, sample, spans, truncation
+from tracewell.session import stage
 
 CATALOG = Catalog()
 
@@ -95,10 +96,10 @@ def p2_found(spark, sf) -> DataFrame:
 @CATALOG.add("p1_report")
 def p1_report(spark, sf) -> DataFrame:
     """Per table, split and source of the evaluation records: those with an overlap, their pairs, and the mean share of
-    their words that the training text covers."""
-    found = overlap.split_overlaps(_split_records(spark, sf)).groupBy("tbl", "held_id").agg(F.count("*").alias("pairs"), F.max("covered").alias("covered"))
+    their words that lie in an interval shared with any training text."""
+    found = overlap.coverage(stage(overlap.split_overlaps(_split_records(spark, sf)), "overlaps")).withColumn("covered", F.col("covered") / F.col("words"))
     of = lambda name, k, rec: table(spark, sf, name).select(F.lit(k).alias("tbl"), F.col(rec).alias("held_id"), F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split"), F.lower(F.trim("source")).alias("source"))
-    held = of("illustrations", 0, "illus_id").unionAll(of("problems", 1, "problem_id")).dropDuplicates(["tbl", "held_id"])
+    held = of("illustrations", 0, "illus_id").unionAll(of("problems", 1, "problem_id")).groupBy("tbl", "held_id").agg(F.max(F.struct("split", "source")).alias("r")).select("tbl", "held_id", "r.split", "r.source")
     return found.join(held, ["tbl", "held_id"]).groupBy(_tbl(*_SPLIT_TABLES), "split", "source").agg(
         F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.round(F.avg("covered"), 6).alias("mean_covered")
     )
