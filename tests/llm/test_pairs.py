@@ -25,6 +25,23 @@ def test_defects(text, defect):
     assert p.Judge().defect(PROMPT, text, False) == defect
 
 
+@pytest.mark.parametrize(
+    "text,refuses",
+    [
+        ("I won't be generating this picture.", True), ("We are not able to do so.", True), ("I'd rather not answer.", True), ("My guidelines keep me from it.", True), ("No figure will be provided.", True), ("This is not something I can do.", True),
+        ("Je ne peux pas tracer cela.", True), ("No la puedo dibujar.", True), ("Ich darf das leider nicht.", True), ("Я не могу.", True), ("Niestety nie.", True), ("我无法画这个图。", True), ("Non posso farlo.", True), ("Dat kan ik niet tekenen.", True),
+        ("The points cannot lie on the circle, so the line is unable to meet it.", False), ("Hawaii must decline in area here.", False), ("I cannot round M, so the exact value is used.", False), ("Ein Kreis ist nicht hier.", False), ("The rules are kept.", False),
+    ],
+)
+def test_refusals_need_a_speaker_and_a_task(text, refuses):
+    assert p.Judge().refuses(text) is refuses
+
+
+@pytest.mark.parametrize("inside,defect", [("% I can't help with drawing this.", "refusal"), ("% " + PROMPT, "copy"), ("% grey kite 12", None), ("\\draw (A) -- (B); % I can't help with drawing this.", None)])
+def test_a_figure_of_comments_draws_nothing(inside, defect):
+    assert p.Judge().defect(PROMPT, f"\\begin{{tikzpicture}}\n{inside}\n\\end{{tikzpicture}}", False) == defect
+
+
 def test_order_of_defects():
     j = p.Judge()
     assert j.defect(PROMPT, "", True) == "empty" and j.defect(PROMPT, "I can't assist", True) == "truncated"
@@ -46,6 +63,8 @@ def test_suffix_automaton_covers_common_runs(own, mine, run):
 def test_languages():
     assert p.language(PROMPT) == "en" and p.language(OTHER) == "de" and p.language("A B C 12") is None
     assert p.language("Соединим A и B пунктирной линией из точки на прямой.") == "ru" and p.language("点M是线段AB的中点。") == "zh"
+    assert p.language("Il punto è nel mezzo della retta che passa per A e per B, e poi si disegna il cerchio.") == "it" and p.language("De lijn van het punt naar de cirkel is niet met een boog.") == "nl"
+    assert p.language("これは点です。") == "ja" and p.language("O ponto não está na reta que passa pelo meio da figura, e depois...") == "pt" and p.language("") is None
 
 
 def test_table(spark):
