@@ -41,6 +41,7 @@ def transient(error: Column) -> Column:
 
 def intent(message: Column) -> Column:
     """'scene' or 'edit'; what no rule decides is a scene."""
+    # The patterns of the rules.
     m = blank_trim(F.coalesce(message, F.lit("")))
     low = F.lower(m)
     shape = low.rlike(_word(SHAPES))
@@ -57,6 +58,7 @@ def intent(message: Column) -> Column:
 
 def derived_count(description: Column) -> Column:
     """Distinct names introduced by a construction, less those with coordinates; else the distinct constructions."""
+    # The patterns by which names are introduced and placed.
     d = F.coalesce(description, F.lit(""))
     names = lambda rx: F.regexp_extract_all(d, F.lit(rx), F.lit(1))
     introduced = F.concat(names(r"\b([A-Z][0-9]?)\s+(?:be|the)\b"), names(r"\b[Ll][Ee][Tt]\s+([A-Z][0-9]?)\b"), names(r"\b([A-Z][0-9]?)\s*,\s*(?=[A-Z])"))
@@ -71,12 +73,44 @@ def route(description: Column, most_derived: int = 5) -> Column:
     return (
         F.when(low.rlike(_word(OUT_OF_VOCABULARY)), "out of vocabulary")
         .when(low.rlike(r"\btransformations?\b") & ~low.rlike(_word(KNOWN_TRANSFORMS)), "generic transform")
-        .when(low.rlike(_word(BIG_POLYGONS)), "big polygon")
+        .when(many_corners(low), "big polygon")
         .when(derived_count(description) > most_derived, "many points")
         .otherwise("specialist")
     )
 
 
+#: How a request counts the corners of a polygon, and the most that are within reach.
+CORNERS = (r"(\d+)\s*[- ]?gon\b", r"(\d+)\s*[- ]?sided\b", r"regular\s+polygon[^.]*?\b(\d+)\s+sides")
+MOST_CORNERS = 6
+#: A place in numbers, and what templates say.
+PLACE, TEMPLATE_PHRASES = r"=\s*\(-?\d", ("output a single tikz figure", "at their correct positions")
+
+
+def many_corners(low: Column, most: int = MOST_CORNERS) -> Column:
+    """Whether a text in lower case names a polygon of more corners, in words or in numbers."""
+    counts = F.concat(*[F.regexp_extract_all(low, F.lit(rx), F.lit(1)) for rx in CORNERS])
+    return low.rlike(_word(BIG_POLYGONS)) | F.exists(counts, lambda n: n.try_cast("double") > most)
+
+
+def looks_templated(description: Column) -> Column:
+    """Whether a request states places in numbers and asks in a template's words."""
+    d = F.coalesce(description, F.lit(""))
+    return d.rlike(PLACE) & has_any(d, TEMPLATE_PHRASES)
+
+
+def synthetic(messages: Column, prefix: str, suffix: str, marks: tuple[str, ...]) -> Column:
+    """struct(inner, names) of a training example made from a template, else null: the request between prefix and the
+    last suffix, and the distinct names that the answer's labels show, in order."""
+    user, answer = F.coalesce(first_content(messages, "user"), F.lit("")), F.coalesce(first_content(messages, "assistant"), F.lit(""))
+    rest = F.substr(user, F.lit(len(prefix) + 1))
+    parts = F.split(rest, F.lit("\\Q" + suffix + "\\E"), -1)
+    inner = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), suffix)).otherwise(rest)
+    shown = F.flatten(F.transform(F.regexp_extract_all(answer, F.lit(r"\\tkzLabelPoints(?:\[[^\]]*\])?\(([^()]*)\)"), F.lit(1)), lambda g: F.split(g, ",")))
+    names = F.array_distinct(F.filter(F.transform(shown, lambda n: F.trim(n)), lambda n: n != ""))
+    marked = F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(user, m))
+    return F.when(F.startswith(user, F.lit(prefix)) & marked, F.struct(inner.alias("inner"), names.alias("names")))
+
+
 def clarification(text: Column) -> Column:
     """The question after the first CLARIFY: up to the line's end; null where there is a figure or no such mark."""
     t = blank_trim(F.coalesce(text, F.lit("")))

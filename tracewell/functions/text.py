@@ -21,6 +21,13 @@ GEOMETRY_WORDS = (
     "incenter", "coordinate", "segment", "arc ", "semicircle",
 )
 
+#: Two patterns that mark a text as geometry, whatever the case.
+GEOMETRY_HINT = (
+    r"triangl|\bcircle|\bcircular|square|rectangl|quadrilateral|polygon|pentagon|hexagon|octagon|\bangle|perpendicular|parallel|\bvertex|vertices|\bpoint\b|"
+    r"coordinate|diagonal|tangent|radius|radii|diameter|\bchord|\barc\b|sphere|cylinder|\bcone\b|\bprism\b|centroid|bisect"
+)
+GEOMETRY_STEMS = r"triangl|circle|square|rectangl|quadrilateral|polygon|angle|perpendicular|parallel|vert(ex|ices)|tangent|radius|radii|diameter|chord|centroid|bisect"
+
 #: Parts of error messages after which a call may be tried again.
 TRANSIENT = (
     "rate limit", "rate_limit", "429", "overloaded", "capacity",

@@ -49,3 +49,8 @@ def must_be_disjoint(a: DataFrame, b: DataFrame, on: list[str]) -> None:
     """Raises where two splits share a key."""
     if not a.select(*on).intersect(b.select(*on)).isEmpty():
         raise ValueError(f"the splits overlap on {on}")
+
+
+def scaled(count: Column, scale: float) -> Column:
+    """A quota scaled; halves go to the even number."""
+    return F.bround(count * F.lit(scale), 0).cast("long")

@@ -9,6 +9,7 @@ from tracewell.catalog import table
 from tracewell.functions import text as tx
 from tracewell.operators import curate as cu
 from tracewell.plans import CATALOG
+from tracewell.sources import files
 
 add = CATALOG.add
 SPLIT_SQL = r"lower(regexp_replace(split, '^\s+|\s+$', '', 'g'))"
@@ -52,9 +53,10 @@ def scan_torn_jsonl(spark, sf):
     return lines.select("event_id", F.from_json("line", "k bigint, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j")).filter("j.k is not null and j._corrupt_record is null").select("event_id", "j.k")
 
 
-@add("scan_defaults", "SELECT gen_id, coalesce(force_op, 'none') AS force_op, coalesce(easy_only, false) AS easy_only, coalesce(chain, 0) AS chain FROM eval_detail")
+@add("scan_defaults", "SELECT gen_id, coalesce(force_op, 'none') AS force_op, coalesce(easy_only, false) AS easy_only, coalesce(chain, 0) AS chain, 7 AS added FROM eval_detail")
 def scan_defaults(spark, sf):
-    return table(spark, sf, "eval_detail").select("gen_id", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("force_op", "none"), ("easy_only", False), ("chain", 0))])
+    d = table(spark, sf, "eval_detail").select("gen_id", "force_op", "easy_only", "chain")
+    return files.with_defaults(d, {"force_op": "none", "easy_only": False, "chain": 0, "added": 7})
 
 
 @add("lww_by_key", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -70,14 +72,21 @@ def reassign_ids(spark, sf):
 
 @add(
     "results_merge",
-    f"""WITH {GEN_SQL}, m AS (SELECT r.model, g.gen_id, 0 AS pass_no FROM gen g JOIN runs r USING (run_id) WHERE g.gen_id % 3 <> 0 UNION ALL SELECT r.model, g.gen_id, 1 FROM gen g JOIN runs r USING (run_id) WHERE g.gen_id % 2 = 0)
-    SELECT model, count(*)::BIGINT AS n, sum(pass_no)::BIGINT AS rescored FROM (SELECT *, row_number() OVER (PARTITION BY gen_id ORDER BY pass_no DESC) AS rn FROM m) WHERE rn = 1 GROUP BY model""",
+    f"""WITH {GEN_SQL}, m AS (SELECT g.gen_id, r.model, coalesce(e.passed, g.ok) AS passed, (e.gen_id IS NOT NULL) AS rescored FROM gen g JOIN runs r USING (run_id) LEFT JOIN eval_detail e USING (gen_id))
+    SELECT model, count(*)::BIGINT AS n, count(*) FILTER (rescored)::BIGINT AS rescored, count(*) FILTER (passed)::BIGINT AS passed FROM m GROUP BY model""",
 )
 def results_merge(spark, sf):
-    """Prior results are kept, rescored ones replace them."""
-    g = gens(spark, sf).join(table(spark, sf, "runs").select("run_id", "model"), "run_id").select("model", "gen_id")
-    both = g.filter("gen_id % 3 <> 0").withColumn("pass_no", F.lit(0)).unionByName(g.filter("gen_id % 2 = 0").withColumn("pass_no", F.lit(1)))
-    return cu.latest(both, ["gen_id"], [F.desc("pass_no")]).groupBy("model").agg(F.count("*").alias("n"), F.sum("pass_no").alias("rescored"))
+    """Prior results are kept, those scored anew replace them."""
+    prior = gens(spark, sf).join(table(spark, sf, "runs").select("run_id", "model"), "run_id").select("gen_id", "model", F.col("ok").alias("passed"), F.lit(False).alias("rescored"))
+    scored = table(spark, sf, "eval_detail").select("gen_id", "passed")
+    anew = prior.select("gen_id", "model", F.col("passed").alias("before")).join(scored, "gen_id").select("gen_id", "model", F.coalesce("passed", "before").alias("passed"), F.lit(True).alias("rescored"))
+    return files.merged_results(prior, anew, ["gen_id"]).groupBy("model").agg(F.count("*").alias("n"), F.count_if("rescored").alias("rescored"), F.count_if("passed").alias("passed"))
+
+
+@add("scaled_quotas", "SELECT cell, count(*)::BIGINT AS n, round_even(count(*) * 0.5, 0)::BIGINT AS half, round_even(count(*) * 1.25, 0)::BIGINT AS more FROM eval_detail WHERE cell IS NOT NULL GROUP BY cell")
+def scaled_quotas(spark, sf):
+    d = table(spark, sf, "eval_detail").filter("cell is not null").groupBy("cell").agg(F.count("*").alias("n"))
+    return d.select("cell", "n", cu.scaled(F.col("n"), 0.5).alias("half"), cu.scaled(F.col("n"), 1.25).alias("more"))
 
 
 @add(
@@ -109,9 +118,14 @@ def keyword_filter(spark, sf):
     return probs(spark, sf).filter(tx.has_any(F.col("statement"), tx.GEOMETRY_WORDS)).select("problem_id")
 
 
-@add("regex_filter", f"WITH {ILLUS_SQL} SELECT illus_id FROM illus WHERE regexp_matches(lower(description), 'triangl|circle|parallel|bisect|tangent|radius|diameter|midpoint')")
+@add(
+    "regex_filter",
+    f"WITH {PROB_SQL} SELECT problem_id, regexp_matches(statement, '(?i){tx.GEOMETRY_HINT}') AS hinted, regexp_matches(statement, '(?i){tx.GEOMETRY_STEMS}') AS stemmed FROM prob WHERE statement IS NOT NULL",
+)
 def regex_filter(spark, sf):
-    return illus(spark, sf).filter(F.lower("description").rlike("triangl|circle|parallel|bisect|tangent|radius|diameter|midpoint")).select("illus_id")
+    """Two filters of different reach."""
+    s = F.col("statement")
+    return probs(spark, sf).filter("statement is not null").select("problem_id", s.rlike("(?i)" + tx.GEOMETRY_HINT).alias("hinted"), s.rlike("(?i)" + tx.GEOMETRY_STEMS).alias("stemmed"))
 
 
 @add(

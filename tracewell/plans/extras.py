@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.catalog import table
-from tracewell.operators import generate
+from tracewell.functions import grading
+from tracewell.operators import families, generate
 from tracewell.plans import CATALOG
 from tracewell.session import shared_dir
 from tracewell.sources import files
@@ -17,14 +18,61 @@ from tracewell.streaming import events as ev
 add = CATALOG.add
 
 
+def _rows(spark, sf) -> int:
+    """As many as there are illustrations."""
+    return table(spark, sf, "illustrations").count()
+
+
 @add("gen_scenes")
 def gen_scenes(spark, sf):
-    return generate.scenes(spark, 2000, seed=5)
+    return families.circle_scenes(spark, _rows(spark, sf), seed=5, max_chain=6, symbolic=True)
 
 
 @add("gen_chains")
 def gen_chains(spark, sf):
-    return generate.chains(spark, 2000, 4, mixed=True, seed=5)
+    return generate.chains(spark, _rows(spark, sf), 4, mixed=True, seed=5)
+
+
+@add("gen_mixed_scenes")
+def gen_mixed_scenes(spark, sf):
+    return generate.scenes(spark, _rows(spark, sf), seed=5)
+
+
+@add("gen_problems")
+def gen_problems(spark, sf):
+    return families.problems(spark, _rows(spark, sf), seed=5)
+
+
+def _yields(made, tag: str):
+    """Generated figures are read back and graded against their own points: sampled and kept per tag and in all."""
+    g = made.select(F.col(tag).alias("tag"), grading.grade(F.col("tikz"), F.col("points"), F.col("unordered") if "unordered" in made.columns else None)["passed"].alias("passed"))
+    return g.rollup("tag").agg(F.count("*").alias("sampled"), F.count_if("passed").alias("kept"), F.grouping("tag").cast("int").alias("total"))
+
+
+_TAGS = "[" + ", ".join(f"'{t}'" for t in families.FAMILIES) + "]"
+
+
+@add(
+    "roundtrip_problems",
+    f"WITH r AS (SELECT unnest(range((SELECT count(*) FROM illustrations))) AS id), t AS (SELECT {_TAGS}[(id % {len(families.FAMILIES)} + 1)::INT] AS tag FROM r) SELECT tag, count(*)::BIGINT AS sampled, count(*)::BIGINT AS kept, grouping(tag)::INT AS total FROM t GROUP BY ROLLUP (tag)",
+)
+def roundtrip_problems(spark, sf):
+    """Every generated problem passes the gate on its own figure."""
+    return _yields(families.problems(spark, _rows(spark, sf), seed=5), "tag")
+
+
+@add("roundtrip_scenes", "SELECT NULL::VARCHAR AS tag, (SELECT count(*) FROM illustrations)::BIGINT AS sampled, (SELECT count(*) FROM illustrations)::BIGINT AS kept, 1 AS total")
+def roundtrip_scenes(spark, sf):
+    """Scenes of a forced last step, in numbers: each figure gives back its points."""
+    made = families.circle_scenes(spark, _rows(spark, sf), seed=9, chain=5, irregular=True, force_op="foot_altitude")
+    return _yields(made.withColumn("tag", F.lit("all")), "tag").filter("total = 1")
+
+
+@add("roundtrip_symbolic")
+def roundtrip_symbolic(spark, sf):
+    """The same in constructions, by the last step's kind: points are stated rounded, so a few are not given back."""
+    made = families.circle_scenes(spark, _rows(spark, sf), seed=9, chain=5, irregular=True, symbolic=True)
+    return _yields(made.withColumn("tag", F.element_at("tags", -1)), "tag")
 
 
 @add("jsonl_round_trip", "SELECT problem_id, num, title FROM problems WHERE title IS NOT NULL")

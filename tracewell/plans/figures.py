@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.catalog import table
 from tracewell.functions import figures as fg
+from tracewell.functions import grading as gr
 from tracewell.functions import text as tx
 from tracewell.plans import CATALOG
 from tracewell.plans.curation import GEN_SQL, PROB_SQL, gens, probs
@@ -80,15 +81,23 @@ def parse_points(spark, sf):
 )
 def grade_full(spark, sf):
     """The gate on a figure: figure only, and every named point within the tolerance of its truth."""
-    d = triangles(spark, sf).withColumn("text", _figure())
-    truth = {"A": ("ax", "ay"), "B": ("bx", "by_"), "C": ("cx", "cy")}
-    p = fg.points_of("text")
-    d = d.select("*", p.alias("p"), tx.figure_only(F.col("text")).alias("figure_only"))
-    ok = [F.coalesce(F.greatest(F.abs(F.col("p")[k]["x"] - F.col(x)), F.abs(F.col("p")[k]["y"] - F.col(y))) <= 0.05, F.lit(False)) for k, (x, y) in truth.items()]
-    half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
-    ok.append(F.coalesce(F.greatest(F.abs(F.col("p")["M"]["x"] - half("ax", "bx")), F.abs(F.col("p")["M"]["y"] - half("ay", "by_"))) <= 0.05, F.lit(False)))
-    hits = sum((o.cast("int") for o in ok[1:]), ok[0].cast("int"))
-    return d.select(*KEY, "figure_only", (hits / len(ok)).alias("accuracy"), (F.col("figure_only") & (hits == len(ok))).alias("passed"))
+    half = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("double")
+    truth = F.create_map(F.lit("A"), F.array("ax", "ay"), F.lit("B"), F.array("bx", "by_"), F.lit("C"), F.array("cx", "cy"), F.lit("M"), F.array(half("ax", "bx"), half("ay", "by_")))
+    g = gr.grade(_figure(), truth)
+    d = triangles(spark, sf).select(*KEY, g.alias("g"))
+    return d.select(*KEY, "g.figure_only", F.col("g.coord_accuracy").alias("accuracy"), "g.passed")
+
+
+@add(
+    "grade_unordered",
+    f"WITH {TRI_SQL} SELECT {_K}, (CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 2 END)::INT AS matched, 3::INT AS total, (l_linenumber % 2 = 0) AS passed FROM tri",
+)
+def grade_unordered(spark, sf):
+    """A group of three interchangeable points under other names, one of them displaced in every other row."""
+    off = F.col("cx") + 0.06 * (F.col("l_linenumber") % 2)
+    truth = F.create_map(F.lit("A"), F.array("bx", "by_"), F.lit("B"), F.array(off, F.col("cy")), F.lit("C"), F.array("ax", "ay"))
+    d = triangles(spark, sf).select(*KEY, gr.grade(_figure(), truth, unordered=F.array(F.array(*map(F.lit, "ABC")))).alias("g"))
+    return d.select(*KEY, "g.matched", "g.total", "g.passed")
 
 
 _LIT_SQL = rf"""l AS (SELECT problem_id, unnest(regexp_extract_all(tikz, '\\tkzDefPoint\(\s*{_NUM}\s*,\s*{_NUM}\s*\)\{{{_NAME}\}}', 3)) AS name, unnest(regexp_extract_all(tikz, '\\tkzDefPoint\(\s*{_NUM}\s*,\s*{_NUM}\s*\)\{{{_NAME}\}}', 1))::DOUBLE AS x, unnest(regexp_extract_all(tikz, '\\tkzDefPoint\(\s*{_NUM}\s*,\s*{_NUM}\s*\)\{{{_NAME}\}}', 2))::DOUBLE AS y FROM prob
@@ -149,18 +158,22 @@ _SW = {k: f"(greatest(abs({a}x-{b}x), abs({a}y{'_' if a == 'b' else ''}-{b}y{'_'
 @add("unordered_match", f"WITH {TRI_SQL} SELECT {_K}, greatest({_SW['ab']} + {_SW['bc']}, {_SW['ac']} + 1)::INT AS hits, ({_SW['ab']} + {_SW['bc']} >= {_SW['ac']} + 1) AS straight FROM tri")
 def unordered_match(spark, sf):
     """Two interchangeable points (A, B) against truths (B, C): the better assignment, the first of equals."""
-    near = lambda p, q: (F.greatest(F.abs(F.col(p[0]) - F.col(q[0])), F.abs(F.col(p[1]) - F.col(q[1]))) <= 3).cast("int")
-    a, b, c = ("ax", "ay"), ("bx", "by_"), ("cx", "cy")
-    straight, swapped = near(a, b) + near(b, c), near(a, c) + near(b, b)
-    return triangles(spark, sf).select(*KEY, F.greatest(straight, swapped).alias("hits"), (straight >= swapped).alias("straight"))
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    found = F.create_map(F.lit("S"), at("ax", "ay"), F.lit("T"), at("bx", "by_"))
+    truth = F.create_map(F.lit("S"), F.array("bx", "by_"), F.lit("T"), F.array("cx", "cy"))
+    g = gr.grade_points(found, truth, F.array(F.array(F.lit("S"), F.lit("T"))), F.lit(3.0))
+    return triangles(spark, sf).select(*KEY, g.alias("g")).select(*KEY, F.col("g.matched").alias("hits"), (F.element_at("g.of", "S") == "S").alias("straight"))
 
 
-@add("ref_normalize", f"WITH {TRI_SQL} SELECT {_K}, round((cx-ax)/nullif(bx-ax, 0), 6) + 0.0 AS x, round((cy-ay)/nullif(cy-by_, 0), 6) + 0.0 AS y FROM tri WHERE abs(bx-ax) >= 1e-6 AND abs(cy-by_) >= 1e-6")
+@add("ref_normalize", f"WITH {TRI_SQL} SELECT {_K}, round((cx-ax)/nullif(bx-ax, 0), 6) + 0.0 AS x, round((cy-ay)/nullif(cy-ay, 0), 6) + 0.0 AS y FROM tri WHERE abs(bx-ax) >= 1e-6 AND abs(cy-ay) >= 1e-6")
 def ref_normalize(spark, sf):
-    """Canvas points in units of a reference frame; frames without extent are dropped."""
-    ux, uy = F.col("bx") - F.col("ax"), F.col("cy") - F.col("by_")
-    d = triangles(spark, sf).filter((F.abs(ux) >= 1e-6) & (F.abs(uy) >= 1e-6))
-    return d.select(*KEY, (F.round((F.col("cx") - F.col("ax")) / ux, 6) + 0.0).alias("x"), (F.round((F.col("cy") - F.col("ay")) / uy, 6) + 0.0).alias("y"))
+    """Canvas points in units of a reference frame, read off a typesetter's log; frames without extent are dropped."""
+    say = lambda *c: F.concat_ws(" ", *[x if isinstance(x, str) is False else F.lit(x) if not x.islower() else F.format_string("%.1fpt", F.col(x)) for x in c])
+    log = F.concat_ws("\n", F.lit("some noise"), say("REF", "ax", "ay", "bx", "by_", "bx", "cy"), F.lit("U undef"), say("P", "cx", "cy"))
+    frame, points = gr.canvas_log(log)
+    d = triangles(spark, sf).select(*KEY, frame.alias("frame"), points.alias("points"))
+    d = d.select(*KEY, gr.frame_units(F.element_at("points", "P"), F.col("frame")).alias("p"), F.map_contains_key("points", "U").alias("u")).filter("u and p is not null")
+    return d.select(*KEY, *[(F.round(f"p.{c}", 6) + 0.0).alias(c) for c in "xy"])
 
 
 @add("coord_free_rate", rf"WITH {PROB_SQL} SELECT count(*)::BIGINT AS n, count(*) FILTER (regexp_matches(tikz, '\\tkz|\$\([^)]*\)\s*!|!\s*\(|name intersections|\|-|-\||\(\s*-?\d+(\.\d+)?\s*:'))::BIGINT AS built FROM prob WHERE tikz IS NOT NULL")
@@ -189,9 +202,10 @@ def compass_bin(spark, sf):
     return triangles(spark, sf).select(*KEY, fg.compass(F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")).alias("slot"))
 
 
-@add("overlay_rewrite", rf"WITH {PROB_SQL} SELECT problem_id, md5(replace(tikz, '\draw[', '\draw[overlay,')) AS text FROM prob WHERE tikz IS NOT NULL")
+@add("overlay_rewrite", rf"WITH {PROB_SQL} SELECT problem_id, md5(replace(concat('\path[name path=u] (0,0) -- (1,1);', tikz), '\path[name path=', '\path[overlay,name path=')) AS text FROM prob WHERE tikz IS NOT NULL")
 def overlay_rewrite(spark, sf):
-    return probs(spark, sf).filter("tikz is not null").select("problem_id", F.md5(F.replace("tikz", F.lit("\\draw["), F.lit("\\draw[overlay,")).cast("binary")).alias("text"))
+    figure = F.concat(F.lit("\\path[name path=u] (0,0) -- (1,1);"), "tikz")
+    return probs(spark, sf).filter("tikz is not null").select("problem_id", F.md5(fg.overlaid(figure).cast("binary")).alias("text"))
 
 
 @add(
@@ -217,6 +231,15 @@ def constraint_types(spark, sf):
     return d.select("problem_id", "name", "c.type", F.array_join("c.parents", ",").alias("parents"))
 
 
+@add(
+    "figure_circles",
+    rf"""WITH {PROB_SQL} SELECT problem_id, count(*)::BIGINT AS circles, round(sum(r), 6) AS radii FROM (SELECT problem_id, unnest(regexp_extract_all(tikz, '\\draw(?:\[[^\]]*\])?\s*\({_NAME}\)\s*circle\s*\(\s*([\d.]+)\s*\)', 2))::DOUBLE AS r FROM prob) GROUP BY problem_id""",
+)
+def figure_circles(spark, sf):
+    d = probs(spark, sf).select("problem_id", F.explode(fg.circles_of("tikz")).alias("c")).filter("c.center is not null and c.r is not null")
+    return d.groupBy("problem_id").agg(F.count("*").alias("circles"), F.round(F.sum("c.r"), 6).alias("radii"))
+
+
 _DASH, _SEG = rf"\\draw(?:\[[^\]]*\])?\s*\({_NAME}\) -- \({_NAME}\);", rf"\\tkzDrawSegment\({_NAME},{_NAME}\)"
 
 

@@ -50,20 +50,40 @@ def derived_count(spark, sf):
     return illus(spark, sf).filter("description is not null").select("illus_id", cl.derived_count(F.col("description")).alias("derived"))
 
 
+_MANY = "(" + _IN("low", cl.BIG_POLYGONS) + "".join(f" OR len(list_filter(regexp_extract_all(low, '{rx}', 1), lambda n: n::DOUBLE > {cl.MOST_CORNERS})) > 0" for rx in cl.CORNERS) + ")"
+
+
+@add(
+    "many_corners",
+    f"WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(CASE l_linenumber % 4 WHEN 0 THEN concat('Draw a regular ', l_partkey % 12, '-gon.') WHEN 1 THEN concat('A ', l_partkey % 12, ' sided figure') WHEN 2 THEN concat('A regular polygon that has ', l_partkey % 12, ' sides.') ELSE 'Draw an Octagon' END) AS low FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MANY} AS many FROM s",
+)
+def many_corners(spark, sf):
+    n, k = (F.col("l_partkey") % 12).cast("string"), F.col("l_linenumber") % 4
+    said = F.when(k == 0, F.concat(F.lit("Draw a regular "), n, F.lit("-gon."))).when(k == 1, F.concat(F.lit("A "), n, F.lit(" sided figure"))).when(k == 2, F.concat(F.lit("A regular polygon that has "), n, F.lit(" sides."))).otherwise("Draw an Octagon")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cl.many_corners(F.lower(said)).alias("many"))
+
+
 @add(
     "route_vocab",
     f"""WITH {ILLUS_SQL}, s AS (SELECT *, lower(description) AS low FROM illus WHERE description IS NOT NULL) SELECT illus_id, CASE WHEN {_IN('low', cl.OUT_OF_VOCABULARY)} THEN 'out of vocabulary'
-    WHEN regexp_matches(low, '\\btransformations?\\b') AND NOT {_IN('low', cl.KNOWN_TRANSFORMS)} THEN 'generic transform' WHEN {_IN('low', cl.BIG_POLYGONS)} THEN 'big polygon'
+    WHEN regexp_matches(low, '\\btransformations?\\b') AND NOT {_IN('low', cl.KNOWN_TRANSFORMS)} THEN 'generic transform' WHEN {_MANY} THEN 'big polygon'
     WHEN (CASE WHEN {_DERIVED} > 0 THEN {_DERIVED} ELSE {_OPS} END) > 5 THEN 'many points' ELSE 'specialist' END AS route FROM s""",
 )
 def route_vocab(spark, sf):
     return illus(spark, sf).filter("description is not null").select("illus_id", cl.route(F.col("description")).alias("route"))
 
 
-@add("looks_templated", f"WITH {ILLUS_SQL} SELECT illus_id, regexp_matches(description, '\\(-?[0-9]') AND contains(lower(description), 'put ') AS templated FROM illus WHERE description IS NOT NULL")
+_PHRASES = " OR ".join(f"contains(lower(d), '{x}')" for x in cl.TEMPLATE_PHRASES)
+
+
+@add(
+    "looks_templated",
+    f"WITH {ILLUS_SQL}, s AS (SELECT illus_id, concat(description, CASE WHEN illus_id % 2 = 0 THEN ' A=(1,2). Define them at their correct positions.' ELSE '' END) AS d FROM illus WHERE description IS NOT NULL) SELECT illus_id, regexp_matches(d, '{cl.PLACE}') AND ({_PHRASES}) AS templated FROM s",
+)
 def looks_templated(spark, sf):
-    d = F.col("description")
-    return illus(spark, sf).filter("description is not null").select("illus_id", (d.rlike(r"\(-?[0-9]") & F.contains(F.lower(d), F.lit("put "))).alias("templated"))
+    """Every other description is given a template's ending, so that both answers occur."""
+    d = F.concat("description", F.when(F.col("illus_id") % 2 == 0, " A=(1,2). Define them at their correct positions.").otherwise(""))
+    return illus(spark, sf).filter("description is not null").select("illus_id", cl.looks_templated(d).alias("templated"))
 
 
 @add(
@@ -115,20 +135,39 @@ def vocab_canon(spark, sf):
 _SYSTEM = "Draw the scene as one figure."
 
 
-@add("chat_format", f"WITH {ILLUS_SQL} SELECT illus_id, unnest(['system', 'user', 'assistant']) AS role, unnest(['{_SYSTEM}', concat('Scene:', chr(10), description), tikz]) AS content FROM illus WHERE description IS NOT NULL AND tikz IS NOT NULL AND sp = 'golden'")
+@add("chat_format", f"WITH {ILLUS_SQL} SELECT illus_id, unnest(['system', 'user', 'assistant']) AS role, unnest(['{_SYSTEM}', concat('Scene:', chr(10), description), tikz]) AS content FROM illus WHERE description IS NOT NULL AND tikz IS NOT NULL")
 def chat_format(spark, sf):
-    d = illus(spark, sf).filter("description is not null and tikz is not null and sp = 'golden'")
+    d = illus(spark, sf).filter("description is not null and tikz is not null")
     return d.select("illus_id", F.inline(cl.chat(_SYSTEM, F.concat(F.lit("Scene:\n"), "description"), F.col("tikz")))).select("illus_id", "role", "content")
 
 
-@add("chat_unshape", f"WITH {ILLUS_SQL} SELECT illus_id, description, tikz FROM illus WHERE description IS NOT NULL AND tikz IS NOT NULL AND sp = 'golden'")
+@add("chat_unshape", f"WITH {ILLUS_SQL} SELECT illus_id, description, tikz FROM illus WHERE description IS NOT NULL AND tikz IS NOT NULL")
 def chat_unshape(spark, sf):
     """Shaping undone: the first content of each role, the template cut off."""
-    d = illus(spark, sf).filter("description is not null and tikz is not null and sp = 'golden'")
+    d = illus(spark, sf).filter("description is not null and tikz is not null")
     m = d.select("illus_id", cl.chat(_SYSTEM, F.concat(F.lit("Scene:\n"), "description"), F.col("tikz")).alias("m"))
     return m.select("illus_id", F.regexp_replace(cl.first_content(F.col("m"), "user"), "^Scene:\n", "").alias("description"), cl.first_content(F.col("m"), "assistant").alias("tikz"))
 
 
+#: The frame of a request, and the endings that mark a template.
+SCENE_PREFIX, SCENE_SUFFIX = "Scene:\n", "\n\nReturn the TikZ figure."
+SYNTHETIC_MARKS = ("at their correct positions.", "at its correct position.", "at their exact locations.", "at their true coordinates.")
+
+
+@add(
+    "chat_synthetic",
+    f"""WITH {PROB_SQL} SELECT problem_id, concat(statement, ' Define them at their correct positions.') AS inner_text, array_to_string(given, ',') AS names FROM (SELECT problem_id, statement, list_sort(given) AS given FROM prob WHERE problem_id % 2 = 0 AND statement IS NOT NULL AND given IS NOT NULL)""",
+)
+def chat_synthetic(spark, sf):
+    """Examples made from a template are told from others; their request and the names in their labels."""
+    d = probs(spark, sf).filter("statement is not null and given is not null")
+    said = F.when(F.col("problem_id") % 2 == 0, F.concat("statement", F.lit(" Define them at their correct positions."))).otherwise(F.concat("statement", F.lit(" Sketch it.")))
+    answer = F.concat(F.lit("\\tkzLabelPoints[above]("), F.array_join(F.sort_array("given"), ", "), F.lit(")"))
+    m = d.select("problem_id", cl.chat(_SYSTEM, F.concat(F.lit(SCENE_PREFIX), said, F.lit(SCENE_SUFFIX)), answer).alias("m"))
+    s = m.select("problem_id", cl.synthetic(F.col("m"), SCENE_PREFIX, SCENE_SUFFIX, SYNTHETIC_MARKS).alias("s")).filter("s is not null")
+    return s.select("problem_id", F.col("s.inner").alias("inner_text"), F.array_join(F.sort_array("s.names"), ",").alias("names"))
+
+
 @add("safe_name", "SELECT DISTINCT source, replace(replace(source, '/', '__'), ':', '_') AS safe, split_part(source, '-', -1) AS short FROM documents WHERE source IS NOT NULL")
 def safe_name(spark, sf):
     d = table(spark, sf, "documents").filter("source is not null").select("source").distinct()
