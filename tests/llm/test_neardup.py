@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import helpers as h
 from tracewell.llm import neardup
+from tracewell.llm import words as w
 from tracewell.llm.neardup import BKTree, near_groups
 
 SCHEMA = "illus_id long, description string"
@@ -28,6 +30,25 @@ def test_hot_shard_of_near_copies(spark):
     assert run(spark, rows, hot=5, counters=1 << 12) == h.groups(h.near_pairs(rows))
 
 
+def test_hot_triples_dealt_into_parts(spark):
+    rng = random.Random(10)
+    base = h.scene(rng, 6)
+    rows = [(k, h.edited(rng, base, 0.02)) for k in range(50)] + h.corpus(5, 20, 4)[:40]
+    assert run(spark, rows, counters=1 << 3, part=20, hot=8) == h.groups(h.near_pairs(rows))
+
+
+def test_marks_of_triples_seen_twice():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 400, 90) for _ in range(6)]
+    tables = [np.zeros(128, np.uint8) for _ in range(2)]
+    for k, t in enumerate(tables):
+        w.marks(iter(parts[3 * k : 3 * k + 3]), t)
+    a, b = tables
+    both = a | b | ((a & b & 0x0F) << 4)
+    where, n = np.unique(np.concatenate(parts), return_counts=True)
+    assert w.seen_twice(both, where.astype(np.uint64)).tolist() == (n > 1).tolist()
+
+
 def test_exact_copies_ties_and_repeated_rows(spark):
     text = h.scene(random.Random(4), 4)
     rows = [(7, text), (3, text), (3, text), (9, text.upper()), (11, "something else entirely with other words in it")]

@@ -5,9 +5,10 @@ its rarest triples (half plus one: any near text shares one of them) with a 256-
 triple. Each shard grows a BK-tree whose children are keyed by their integer Hamming distance to the parent and each
 member follows only the edges within its radius (|A| + |B|) / 3, which no near pair exceeds; what is found is then
 checked exactly and joined into components. The shard trees are sent by shuffle, not broadcast, as their size grows
-with the data.
+with the data. Triples of one text only name no shard: a table of fixed size, of those that may be in two texts, keeps
+most of them back (when it is full it keeps fewer back, which only costs speed).
 
-A shard above `hot` members links them to its first member only; later rounds split it into blocks and search again,
+A triple of very many texts is dealt into parts from the start, one for each PART texts of the collection. A shard above `hot` members links them to its first member only; later rounds split it into blocks and search again,
 but only from members outside its largest component and only for pairs whose components still differ, so a shard full
 of near-copies stays linear.
 """
@@ -22,12 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import Symbols, add_saturating, merged_table, parity_sketch, prefix_order, triples
+from tracewell.llm.words import Symbols, add_saturating, marks, merged_table, parity_sketch, prefix_order, seen_twice, triples
 from tracewell.operators.components import connected_components
 from tracewell.session import stage, unstage
 
 COUNTERS = 1 << 22
+#: Slots of the table of triples that may be in two texts (two bits each).
+SLOTS = 1 << 25
 HOT = 256
+PART = 500_000
 
 
 class BKTree:
@@ -111,27 +115,44 @@ def triple_counts(feats: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     return merged_table(feats.select("tri"), fill, counters, "add")
 
 
-def shard_entries(reps: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(shard, rec, n, sketch): each text under each triple of its prefix."""
-    shared = reps.sparkSession.sparkContext.broadcast(counts)
+def in_two_texts(reps: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """The table of triples that may be in two texts."""
+    mask = np.uint64(slots - 1)
+
+    def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+        marks(((np.concatenate([*_lists(b.column(0)), np.empty(0, np.uint64)]) & mask).astype(np.int64) for b in batches), table)
+
+    return merged_table(reps.select("tri"), fill, slots // 4, "twice")
+
+
+def shard_entries(reps: DataFrame, counts: np.ndarray, twice: np.ndarray, parts: int = 1) -> DataFrame:
+    """(shard, part, rec, n, sketch): each text under each triple of its prefix that may be in another text. part is -1,
+    or a number below `parts` for triples of very many texts."""
+    context = reps.sparkSession.sparkContext
+    shared = context.broadcast((counts, twice))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table, kept = shared.value
+        mask = np.uint64(len(table) - 1)
         for batch in batches:
-            shards, recs, sizes, sketches = [], [], [], []
+            shards, recs, sizes, sketches, dealt = [], [], [], [], []
             for rec, tri in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
                 prefix = prefix_order(tri, table)
-                shards.append(prefix)
-                recs.append(np.full(len(prefix), rec, np.int64))
-                sizes.append(np.full(len(prefix), len(tri), np.int32))
-                sketches.extend([parity_sketch(tri)] * len(prefix))
+                prefix = prefix[seen_twice(kept, prefix)]
+                if len(prefix):
+                    shards.append(prefix)
+                    recs.append(np.full(len(prefix), rec, np.int64))
+                    sizes.append(np.full(len(prefix), len(tri), np.int32))
+                    sketches.extend([parity_sketch(tri)] * len(prefix))
+                    part = xxhash.xxh32_intdigest(rec.to_bytes(8, "little", signed=True)) % parts if parts > 1 else -1
+                    dealt.append(np.where(table[(prefix & mask).astype(np.int64)] == 255, part, -1).astype(np.int32))
             if recs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(shards).view(np.int64)), pa.array(np.concatenate(recs)), pa.array(np.concatenate(sizes)), pa.array(sketches, pa.binary())],
-                    ["shard", "rec", "n", "sketch"],
+                    [pa.array(np.concatenate(shards).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (dealt, recs, sizes)], pa.array(sketches, pa.binary())],
+                    ["shard", "part", "rec", "n", "sketch"],
                 )
 
-    return reps.select("rec", "tri").mapInArrow(run, "shard long, rec long, n int, sketch binary")
+    return reps.select("rec", "tri").mapInArrow(run, "shard long, part int, rec long, n int, sketch binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
@@ -189,12 +210,13 @@ def _members(batch: pa.RecordBatch, a: int, b: int, first: int) -> Iterator[tupl
 
 
 def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
-    """(kind, a, b): 'pair' within the radius in some shard; 'hot' names a shard (in a) that only linked to its first."""
+    """(kind, a, b): 'pair' within the radius in some shard; 'hot' names a shard (in a) that only linked to its first, or
+    that was dealt into parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
         hots: list[tuple[int, int]] = []
-        now: int | None = None
+        now: tuple | None = None
         held: list[tuple] = []
         first: tuple | None = None
 
@@ -211,17 +233,19 @@ def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
             for member in members:
                 shard.link(*member)
 
-        for (key,), batch, a, b in _runs(batches, 1):
+        for key, batch, a, b in _runs(batches, 2):
             if key != now:
                 if first is None:
                     close()
                 now, held, first = key, [], None
+                if key[1] >= 0:
+                    hots.append((key[0], 0))
                 if b - a == 1 and b < batch.num_rows:  # alone in its shard
                     continue
-            members = list(_members(batch, a, b, 1))
+            members = list(_members(batch, a, b, 2))
             if first is None and len(held) + len(members) > hot:
                 first = (held or members)[0]
-                hots.append((key, 0))
+                hots.append((key[0], 0))
                 star(held)
                 held = []
             if first is not None:
@@ -236,7 +260,7 @@ def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
         yield _pair_batch("pair", list(out))
         yield _pair_batch("hot", hots)
 
-    return entries.repartition("shard").sortWithinPartitions("shard", "rec").mapInArrow(run, _PAIRS)
+    return entries.repartition("shard", "part").sortWithinPartitions("shard", "part", "rec").mapInArrow(run, _PAIRS)
 
 
 def cross_pairs(entries: DataFrame, comps: DataFrame, hot: int = HOT, most: int | None = None) -> DataFrame:
@@ -285,7 +309,7 @@ def near_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "group_id", hot: int = HOT, counters: int = COUNTERS) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "group_id", hot: int = HOT, counters: int = COUNTERS, part: int = PART) -> DataFrame:
     """(group, id): the members of every group of two or more records linked, directly or through others, by near texts;
     the group is named by its smallest id.
 
@@ -295,7 +319,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "gro
     feats = stage(features(df, id_col, text_col), "features")
     folded = feats.groupBy("key").agg(F.min("rec").alias("rec"), F.count_distinct("rec").alias("copies"))
     reps = stage(feats.join(folded.select("key", "rec"), ["key", "rec"]).dropDuplicates(["rec"]).select("rec", "n", "tri"), "texts")
-    entries = shard_entries(reps, triple_counts(reps, counters))
+    entries = shard_entries(reps, triple_counts(reps, counters), in_two_texts(reps), max(1, reps.count() // part))
     found = stage(candidate_pairs(entries, hot), "pairs")
     links = stage(near_links(found, reps), "links")
     comps = connected_components(links)
@@ -307,7 +331,7 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "gro
             links = stage(links.unionByName(crossed).distinct(), "links")
             comps = connected_components(links)
         unstage(hot_entries)
-    unstage(found)
+    unstage(found, reps, links)
     texts = (
         folded.join(comps.withColumnRenamed("node", "rec"), "rec", "left")
         .filter(F.col("comp").isNotNull() | (F.col("copies") > 1))

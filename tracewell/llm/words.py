@@ -89,7 +89,8 @@ def parity_sketch(hashes: np.ndarray) -> bytes:
 
 
 def merged_table(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], size: int, how: str, chunk: int = 1 << 16) -> np.ndarray:
-    """A table of `size` bytes filled by every task and merged by chunk, by saturating sum ('add') or by 'or'.
+    """A table of `size` bytes filled by every task and merged by chunk, by saturating sum ('add'), by 'or', or as marks of
+    what was seen once and twice ('twice', see marks).
 
     Its size is fixed whatever the input, so it may be sent to the driver and broadcast.
     """
@@ -113,6 +114,8 @@ def merged_table(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch], np.nda
                     parts[k] = new.copy()
                 elif how == "or":
                     parts[k] |= new
+                elif how == "twice":
+                    parts[k] = parts[k] | new | ((parts[k] & new & 0x0F) << 4)
                 else:
                     parts[k] = np.minimum(parts[k].astype(np.uint16) + new, 255).astype(np.uint8)
         yield from emit(parts)
@@ -127,3 +130,20 @@ def add_saturating(table: np.ndarray, slots: np.ndarray) -> None:
     """Counts slots into a byte table that stops at 255."""
     where, n = np.unique(slots, return_counts=True)
     table[where] = np.minimum(table[where].astype(np.int64) + n, 255)
+
+
+def marks(batches_of_slots: Iterator[np.ndarray], table: np.ndarray) -> None:
+    """Marks slots seen once and those seen twice or more, four slots a byte: the low bits for once, the high for twice."""
+    once, twice = np.zeros(4 * len(table), bool), np.zeros(4 * len(table), bool)
+    for slots in batches_of_slots:
+        where, n = np.unique(slots, return_counts=True)
+        twice[where] |= once[where] | (n > 1)
+        once[where] = True
+    weights = np.array([1, 2, 4, 8], np.uint8)
+    table[:] = once.reshape(-1, 4) @ weights + (twice.reshape(-1, 4) @ weights) * np.uint8(16)
+
+
+def seen_twice(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may have been seen twice; none that was is missed."""
+    slots = (hashes & np.uint64(4 * len(table) - 1)).astype(np.int64)
+    return (table[slots >> 2] >> ((slots & 3) + 4).astype(np.uint8)) & 1 == 1
