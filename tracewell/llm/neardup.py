@@ -155,21 +155,25 @@ def shard_entries(reps: DataFrame, counts: np.ndarray, twice: np.ndarray, parts:
     return reps.select("rec", "tri").mapInArrow(run, "shard long, part int, rec long, n int, sketch binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """Runs of rows with equal first `width` columns in sorted batches; a run's rows come in pieces."""
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple], int, bool]]:
+    """(key, rows, number, last) of runs of rows with equal first `width` columns in sorted batches; a run's rows come in
+    pieces, a batch each, and only the last piece of a batch may go on."""
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:width]]
         n = batch.num_rows
         if not n:
             continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:width]]
         change = np.zeros(n, bool)
         change[0] = True
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], n)
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            yield tuple(c[a].item() for c in columns), batch, a, b
+        ends = np.append(starts[1:], n).tolist()
+        keys = zip(*(c[starts].tolist() for c in columns))
+        rest = [c.to_pylist() for c in batch.columns[width:]]
+        rest[2] = [int.from_bytes(x, "little") for x in rest[2]]
+        for key, a, b in zip(keys, starts.tolist(), ends):
+            yield key, zip(*(c[a:b] for c in rest)), b - a, b == n
 
 
 class _Shard:
@@ -202,13 +206,6 @@ def _pair_batch(kind: str, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
 
-def _members(batch: pa.RecordBatch, a: int, b: int, first: int) -> Iterator[tuple]:
-    part = batch.slice(a, b - a)
-    columns = [part.column(k).to_pylist() for k in range(first, batch.num_columns)]
-    for rec, n, sketch, *rest in zip(*columns):
-        yield (rec, n, int.from_bytes(sketch, "little"), *rest)
-
-
 def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
     """(kind, a, b): 'pair' within the radius in some shard; 'hot' names a shard (in a) that only linked to its first, or
     that was dealt into parts."""
@@ -221,7 +218,11 @@ def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
         first: tuple | None = None
 
         def close() -> None:
-            if len(held) > 1:
+            if len(held) == 2:  # a tree of one node
+                (a, n, x), (b, m, y) = held
+                if a != b and 3 * (x ^ y).bit_count() <= n + m and n <= 2 * m and m <= 2 * n:
+                    out.add((a, b) if a < b else (b, a))
+            elif held:
                 shard = _Shard(out)
                 for member in held:
                     shard.link(*member)
@@ -233,16 +234,16 @@ def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
             for member in members:
                 shard.link(*member)
 
-        for key, batch, a, b in _runs(batches, 2):
+        for key, rows, n, last in _runs(batches, 2):
             if key != now:
                 if first is None:
                     close()
                 now, held, first = key, [], None
                 if key[1] >= 0:
                     hots.append((key[0], 0))
-                if b - a == 1 and b < batch.num_rows:  # alone in its shard
+                if n == 1 and not last:  # alone in its shard
                     continue
-            members = list(_members(batch, a, b, 2))
+            members = list(rows)
             if first is None and len(held) + len(members) > hot:
                 first = (held or members)[0]
                 hots.append((key[0], 0))
@@ -282,10 +283,10 @@ def cross_pairs(entries: DataFrame, comps: DataFrame, hot: int = HOT, most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
         now, shard = None, _Shard(out)
-        for key, batch, a, b in _runs(batches, 2):
+        for key, rows, _, _ in _runs(batches, 2):
             if key != now:
                 now, shard = key, _Shard(out)
-            for rec, n, sketch, comp, role in _members(batch, a, b, 2):
+            for rec, n, sketch, comp, role in rows:
                 if role:
                     shard.link(rec, n, sketch, comp, most)
                 else:
