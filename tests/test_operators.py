@@ -125,6 +125,15 @@ def test_merge_latest_is_repeatable(spark, tmp_path):
     assert ev.latest_table(spark, path).count() == 3
 
 
+def test_merge_latest_folds_its_parts(spark, tmp_path):
+    path = str(tmp_path / "fold")
+    for epoch in range(7):
+        ev.merge_latest(spark.createDataFrame([("a", epoch, epoch), (f"k{epoch}", 0, epoch)], "k string, t int, v int"), epoch, path, ["k"], "t", compact=2)
+    ev.merge_latest(spark.createDataFrame([("a", 5, 5), ("k5", 0, 5)], "k string, t int, v int"), 5, path, ["k"], "t", compact=2)
+    assert {(r["k"], r["v"]) for r in ev.latest_table(spark, path).collect()} == {("a", 6), *((f"k{e}", e) for e in range(7))}
+    assert len([x for x in (tmp_path / "fold").iterdir() if x.name.startswith("epoch=")]) <= 5
+
+
 def test_staged_tables_are_cleared(spark):
     a, b = stage(spark.range(5), "a"), stage(spark.range(6), "b")
     assert a.count() == 5

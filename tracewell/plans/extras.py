@@ -95,7 +95,7 @@ def stream_windows(spark, sf):
     """Daily counts per type from the stream of event files, in one run over what is there."""
     name = f"windows_{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
-    counts = ev.windowed_counts(ev.event_stream(spark, f"{sf}/events.parquet", schema), late="3650 days")
+    counts = ev.windowed_counts(ev.event_stream(spark, f"{sf}/events.parquet", schema), late="2 days")
     ev.run_once(counts, name, f"{shared_dir(spark)}/tracewell/{name}")
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
