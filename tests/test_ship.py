@@ -3,13 +3,17 @@ import subprocess
 import sys
 from types import SimpleNamespace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+
 from tracewell.session import ship
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_workers_import_the_package_from_anywhere(tmp_path):
-    code = f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from tracewell.session import local_session; print('ROWS', e.queries()['gen_scenes'](local_session(2, 2), '').count())"
+    pq.write_table(pa.table({"illus_id": range(2000)}), tmp_path / "illustrations.parquet")  # as many scenes as there are rows
+    code = f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from tracewell.session import local_session; print('ROWS', e.queries()['gen_scenes'](local_session(2, 2), {str(tmp_path)!r}).count())"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 2000" in said.stdout, said.stderr[-2000:]
