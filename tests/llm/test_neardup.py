@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm import helpers as h
-from tracewell.llm import neardup
+from tracewell.llm import dealing, neardup
 from tracewell.llm import words as w
 from tracewell.llm.neardup import BKTree, near_groups
 
@@ -37,6 +37,37 @@ def test_hot_triples_dealt_into_parts(spark):
     assert run(spark, rows, counters=1 << 3, part=20, hot=8) == h.groups(h.near_pairs(rows))
 
 
+def test_entries_are_shuffled_in_passes_of_bounded_size(spark, monkeypatch):
+    rows = h.corpus(11, 40, 4)
+    passes, dealt = [], dealing._dealt
+
+    def counted(*args):
+        out = dealt(*args)
+        passes.append(sum(len(r["data"]) // dealing.ENTRY.itemsize for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(dealing, "_dealt", counted)
+    assert run(spark, rows, entries_a_pass=400) == h.groups(h.near_pairs(rows))
+    assert len(passes) > 3 and max(passes) < 600
+
+
+def test_large_shards_compare_all_pairs():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    e = np.zeros(900, dealing.ENTRY)
+    e["shard"], e["rec"], e["n"] = np.repeat([2, 4], [700, 200]), np.arange(900), rng.integers(40, 130, 900)
+    e["sketch"] = base ^ (rng.integers(0, 1 << 63, (900, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (900, 4), dtype=np.uint64) & rng.integers(0, 1 << 63, (900, 4), dtype=np.uint64))
+    got = {(r["a"], r["b"]) for b in neardup.shard_pairs(e) for r in b.to_pylist() if r["kind"] == "pair"}
+    i, j = np.triu_indices(900, 1)
+    ok = (e["shard"][i] == e["shard"][j]) & dealing.close(e, i, j)
+    assert got == set(zip(i[ok].tolist(), j[ok].tolist())) and 0 < len(got) < ok.size
+
+
+def test_an_id_with_two_texts_links_their_groups(spark):
+    a, b = h.scene(random.Random(1), 5), h.scene(random.Random(2), 5)
+    assert run(spark, [(1, a), (5, a), (5, b), (7, b)]) == {(1, 1), (1, 5), (1, 7)}
+
+
 def test_marks_of_triples_seen_twice():
     rng = np.random.default_rng(3)
     parts = [rng.integers(0, 400, 90) for _ in range(6)]

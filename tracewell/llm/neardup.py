@@ -1,16 +1,18 @@
-"""Groups of near-duplicate records (problem 5): BK-trees over Hamming distance in shards of a prefix index.
-
-Texts with equal sets of triples are folded first, so exact copies never meet each other. Every remaining text sends
-its rarest triples (half plus one: any near text shares one of them) with a 256-bit parity sketch to the shard of the
-triple. Each shard grows a BK-tree whose children are keyed by their integer Hamming distance to the parent and each
-member follows only the edges within its radius (|A| + |B|) / 3, which no near pair exceeds; what is found is then
-checked exactly and joined into components. The shard trees are sent by shuffle, not broadcast, as their size grows
-with the data. Triples of one text only name no shard: a table of fixed size, of those that may be in two texts, keeps
-most of them back (when it is full it keeps fewer back, which only costs speed).
-
-A triple of very many texts is dealt into parts from the start, one for each PART texts of the collection. A shard above `hot` members links them to its first member only; later rounds split it into blocks and search again,
-but only from members outside its largest component and only for pairs whose components still differ, so a shard full
-of near-copies stays linear.
+"""Groups of near-duplicate records (problem 5): shards of a prefix index, BK-trees over Hamming distance in large ones.
+
+Texts with equal sets of triples are one text, named by a hash of the set, so exact copies never meet each other. Every
+text sends its rarest triples (half plus one: any near text shares one of them) with a 256-bit parity sketch to the shard
+of the triple; shards are dealt into buckets, pass by pass (see dealing), not broadcast, as their size grows with the
+data. A shard compares its members' sketches with the radius (|A| + |B|) / 3, which no near pair exceeds; what is found
+is then checked exactly and joined into components. Triples of one text only name no shard: a table of fixed size, of
+those that may be in two texts, keeps most of them back (when it is full it keeps fewer back, which only costs speed).
+Words are staged once, compressed; only texts that are in a pair are sent on for the exact check.
+
+A triple of very many texts is dealt into parts from the start, one for each PART texts of the collection. A shard above
+`hot` members links them to its first member only; later rounds split it into blocks, grow a BK-tree in each (children
+are keyed by their integer Hamming distance to the parent, a search follows the edges within its radius) and search
+again, but only from members outside its largest component and only for pairs whose components still differ, so a shard
+full of near-copies stays linear.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import Symbols, add_saturating, marks, merged_table, parity_sketch, prefix_order, seen_twice, triples
+from tracewell.llm import dealing
+from tracewell.llm.words import Symbols, marks, merged_table, seen_twice
 from tracewell.operators.components import connected_components
 from tracewell.session import stage, unstage
 
-COUNTERS = 1 << 22
+#: Counters at least and at most (two bytes each).
+COUNTERS = 1 << 21
+MOST_COUNTERS = 1 << 25
 #: Slots of the table of triples that may be in two texts (two bits each).
 SLOTS = 1 << 25
-HOT = 256
+HOT = 8192
 PART = 500_000
 
 
@@ -73,86 +78,78 @@ class BKTree:
 
 
 def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rec, key, n, tri) of every row with triples; key names the set of triples."""
+    """(rec, text, symbols) of every row with triples; text names the set of triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols()
+        table = Symbols()
         for batch in batches:
-            ids, keys, sizes, all_tri = [], [], [], []
+            ids, symbols = [], []
             for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tri = triples(symbols.of(text))
-                if rec is not None and len(tri):
+                if rec is not None and len(s := table.of(text)) > 2:
                     ids.append(rec)
-                    keys.append(xxhash.xxh3_128_digest(tri.tobytes()))
-                    sizes.append(len(tri))
-                    all_tri.append(tri)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = np.concatenate(all_tri).view(np.int64) if all_tri else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["rec", "key", "n", "tri"],
-            )
+                    symbols.append(s.tobytes())
+            if not ids:
+                continue
+            h, text, _ = dealing.flat(symbols)
+            h, text, n = dealing.distinct(h, text, len(ids))
+            raw, ends = h.tobytes(), (8 * np.cumsum(n)).tolist()
+            keys = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip([0, *ends], ends)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(symbols, pa.binary())], ["rec", "text", "symbols"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "rec long, key binary, n int, tri array<long>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "rec long, text long, symbols binary")
 
 
-def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    offsets = column.offsets.to_numpy()
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        yield values[a:b]
+def _triples(symbols: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's triples once: (hashes, text, n)."""
+    parts = symbols.to_pylist()
+    h, text, _ = dealing.flat(parts)
+    return dealing.distinct(h, text, len(parts))
 
 
-def triple_counts(feats: DataFrame, counters: int = COUNTERS) -> np.ndarray:
-    """Hashed document counts of the triples of all records, saturating at 255."""
-    mask = np.uint64(counters - 1)
+def in_two_texts(feats: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """The table of triples that may be in two texts."""
+    mask = np.uint64(slots - 1)
 
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
-        for batch in batches:
-            values = np.concatenate([*_lists(batch.column(0)), np.empty(0, np.uint64)])
-            add_saturating(table, (values & mask).astype(np.int64))
+        marks(((_triples(b.column(0))[0] & mask).astype(np.int64) for b in batches if b.num_rows), table)
 
-    return merged_table(feats.select("tri"), fill, counters, "add")
+    return merged_table(feats.select("symbols"), fill, slots // 4, "twice")
 
 
-def in_two_texts(reps: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """The table of triples that may be in two texts."""
-    mask = np.uint64(slots - 1)
+def prefixed(feats: DataFrame, counts: np.ndarray, twice: np.ndarray, many: int | None) -> DataFrame:
+    """PREFIXES of the texts: their triples that may be in another text."""
+    shared = feats.sparkSession.sparkContext.broadcast((counts, twice))
 
-    def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
-        marks(((np.concatenate([*_lists(b.column(0)), np.empty(0, np.uint64)]) & mask).astype(np.int64) for b in batches), table)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kept = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, text, n = _triples(batch.column(1))
+            sketches, own = dealing.prefixes(h, text, n, table, lambda x: seen_twice(kept, x), many)
+            columns = [batch.column(0), pa.array(np.zeros(len(n), np.int32)), pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary()), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rec", "side", "n", "sketch", "prefix"]).filter(pa.array([len(x) > 0 for x in own]))
 
-    return merged_table(reps.select("tri"), fill, slots // 4, "twice")
+    return feats.select("text", "symbols").mapInArrow(run, dealing.PREFIXES)
 
 
-def shard_entries(reps: DataFrame, counts: np.ndarray, twice: np.ndarray, parts: int = 1) -> DataFrame:
-    """(shard, part, rec, n, sketch): each text under each triple of its prefix that may be in another text. part is -1,
-    or a number below `parts` for triples of very many texts."""
-    context = reps.sparkSession.sparkContext
-    shared = context.broadcast((counts, twice))
+def hot_entries(prefixed: DataFrame, hots: np.ndarray) -> DataFrame:
+    """(shard, rec, n, sketch) under the shards given, and under those that were dealt into parts."""
+    shared = prefixed.sparkSession.sparkContext.broadcast(np.sort(hots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kept = shared.value
-        mask = np.uint64(len(table) - 1)
         for batch in batches:
-            shards, recs, sizes, sketches, dealt = [], [], [], [], []
-            for rec, tri in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
-                prefix = prefix_order(tri, table)
-                prefix = prefix[seen_twice(kept, prefix)]
-                if len(prefix):
-                    shards.append(prefix)
-                    recs.append(np.full(len(prefix), rec, np.int64))
-                    sizes.append(np.full(len(prefix), len(tri), np.int32))
-                    sketches.extend([parity_sketch(tri)] * len(prefix))
-                    part = xxhash.xxh32_intdigest(rec.to_bytes(8, "little", signed=True)) % parts if parts > 1 else -1
-                    dealt.append(np.where(table[(prefix & mask).astype(np.int64)] == 255, part, -1).astype(np.int32))
-            if recs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(shards).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (dealt, recs, sizes)], pa.array(sketches, pa.binary())],
-                    ["shard", "part", "rec", "n", "sketch"],
-                )
-
-    return reps.select("rec", "tri").mapInArrow(run, "shard long, part int, rec long, n int, sketch binary")
+            if not batch.num_rows:
+                continue
+            e, own = dealing.entries(batch), shared.value
+            at = e["shard"] & np.uint64(1) == 1
+            if len(own):
+                at |= own[np.minimum(own.searchsorted(e["shard"]), len(own) - 1)] == e["shard"]
+            e = e[at]
+            columns = [pa.array(np.ascontiguousarray(e["shard"]).view(np.int64)), *[pa.array(np.ascontiguousarray(e[c])) for c in ("rec", "n")], pa.array([x.tobytes() for x in e["sketch"]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "rec", "n", "sketch"])
+
+    return prefixed.mapInArrow(run, "shard long, rec long, n int, sketch binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple], int, bool]]:
@@ -206,62 +203,77 @@ def _pair_batch(kind: str, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
 
-def candidate_pairs(entries: DataFrame, hot: int = HOT) -> DataFrame:
-    """(kind, a, b): 'pair' within the radius in some shard; 'hot' names a shard (in a) that only linked to its first, or
-    that was dealt into parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        hots: list[tuple[int, int]] = []
-        now: tuple | None = None
-        held: list[tuple] = []
-        first: tuple | None = None
-
-        def close() -> None:
-            if len(held) == 2:  # a tree of one node
-                (a, n, x), (b, m, y) = held
-                if a != b and 3 * (x ^ y).bit_count() <= n + m and n <= 2 * m and m <= 2 * n:
-                    out.add((a, b) if a < b else (b, a))
-            elif held:
-                shard = _Shard(out)
-                for member in held:
-                    shard.link(*member)
-                    shard.add(*member)
-
-        def star(members: list[tuple]) -> None:
-            shard = _Shard(out)
-            shard.add(*first)
-            for member in members:
-                shard.link(*member)
-
-        for key, rows, n, last in _runs(batches, 2):
-            if key != now:
-                if first is None:
-                    close()
-                now, held, first = key, [], None
-                if key[1] >= 0:
-                    hots.append((key[0], 0))
-                if n == 1 and not last:  # alone in its shard
-                    continue
-            members = list(rows)
-            if first is None and len(held) + len(members) > hot:
-                first = (held or members)[0]
-                hots.append((key[0], 0))
-                star(held)
-                held = []
-            if first is not None:
-                star(members)
-            else:
-                held.extend(members)
-            if len(out) >= 200_000:
-                yield _pair_batch("pair", list(out))
-                out.clear()
-        if first is None:
-            close()
-        yield _pair_batch("pair", list(out))
-        yield _pair_batch("hot", hots)
-
-    return entries.repartition("shard", "part").sortWithinPartitions("shard", "part", "rec").mapInArrow(run, _PAIRS)
+def _arrays(kind: str, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.string()).take(pa.array(np.zeros(len(a), np.int64))), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+
+def _far_and_wide(e: np.ndarray, start: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within the radius in one shard of many members, some rows at a time."""
+    n, words = e["n"][start : start + size], [np.ascontiguousarray(e["sketch"][start : start + size, k]) for k in range(4)]
+    step = max(1, 1_000_000 // size)
+    for a in range(0, size, step):
+        rows = slice(a, a + step)
+        d = np.zeros((len(n[rows]), size - a), np.int16)
+        for w in words:
+            d += np.bitwise_count(w[rows, None] ^ w[None, a:])
+        i, j = np.nonzero(3 * d <= n[rows, None] + n[None, a:])
+        i, j = i[i < j] + a, j[i < j] + a
+        ok = (n[i] <= 2 * n[j]) & (n[j] <= 2 * n[i])
+        yield start + i[ok], start + j[ok]
+
+
+def shard_pairs(e: np.ndarray, hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """(kind, a, b) in the entries of whole shards: 'pair' within the radius in some shard; 'hot' names a shard (in a) that
+    only linked to its first member."""
+    e = e[np.lexsort((e["rec"], e["shard"]))]
+    again = np.zeros(len(e), bool)
+    again[1:] = (e["shard"][1:] == e["shard"][:-1]) & (e["rec"][1:] == e["rec"][:-1])
+    e = e[~again]
+    starts = np.flatnonzero(np.concatenate([[True], e["shard"][1:] != e["shard"][:-1]]))
+    sizes = np.diff(np.append(starts, len(e)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            found.append((e["rec"][i], e["rec"][j]))
+
+    small = np.repeat(sizes <= min(hot, 64), sizes)
+    i, d = np.flatnonzero(small[:-1] & (e["shard"][1:] == e["shard"][:-1])), 1
+    while len(i):
+        for k in range(0, len(i), 500_000):
+            x = i[k : k + 500_000]
+            ok = dealing.close(e, x, x + d)
+            take(x[ok], x[ok] + d)
+        d += 1
+        i = i[i + d < len(e)]
+        i = i[e["shard"][i + d] == e["shard"][i]]
+    hots = []
+    for start, size in zip(starts[sizes > min(hot, 64)].tolist(), sizes[sizes > min(hot, 64)].tolist()):
+        if size <= hot:
+            for i, j in _far_and_wide(e, start, size):
+                take(i, j)
+        else:
+            hots.append(e["shard"][start])
+            j = np.arange(start + 1, start + size)
+            ok = dealing.close(e, np.full(size - 1, start), j)
+            take(np.full(int(ok.sum()), start), j[ok])
+        if sum(len(a) for a, _ in found) >= 1_000_000:
+            yield _unique(found)
+            found.clear()
+    if found:
+        yield _unique(found)
+    shards = np.array([s for s in hots if not int(s) & 1], np.uint64).view(np.int64)
+    yield _arrays("hot", shards, np.zeros(len(shards), np.int64))
+
+
+def _unique(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return _arrays("pair", a[first], b[first])
 
 
 def cross_pairs(entries: DataFrame, comps: DataFrame, hot: int = HOT, most: int | None = None) -> DataFrame:
@@ -299,43 +311,74 @@ def cross_pairs(entries: DataFrame, comps: DataFrame, hot: int = HOT, most: int
     return home.unionAll(seek).repartition("shard", "block").sortWithinPartitions("shard", "block", "role", "rec").mapInArrow(run, _PAIRS)
 
 
-def near_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose triples prove them near."""
-    side = lambda x: reps.select(F.col("rec").alias(x), F.col("tri").alias(f"tri_{x}"))
+def near_links(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """The pairs whose triples prove them near. Only texts that are in a pair are sent."""
+    only = stage(pairs.filter("kind = 'pair'").select("a", "b").distinct(), "candidates")
+    bits = feats.sparkSession.sparkContext.broadcast(dealing.node_bits(only))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(dealing.in_bits(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            if batch.num_rows:
+                h, _, n = _triples(batch.column(1))
+                tri = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), tri], ["text", "tri"])
+
+    texts = feats.select("text", "symbols").mapInArrow(run, "text long, tri array<long>").dropDuplicates(["text"])
+    texts = stage(texts, "compared")
+    side = lambda x: texts.select(F.col("text").alias(x), F.col("tri").alias(f"tri_{x}"))
     common = F.size(F.array_intersect("tri_a", "tri_b"))
-    return (
-        pairs.filter("kind = 'pair'").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-        .filter(common * 3 >= F.size("tri_a") + F.size("tri_b"))
-        .select("a", "b")
-    )
+    links = stage(
+        only.join(side("a"), "a").join(side("b"), "b").filter(common * 3 >= F.size("tri_a") + F.size("tri_b")).select("a", "b"), "links"
+    )
+    unstage(only, texts)
+    dealing.free_shuffles(feats.sparkSession)
+    return links
 
 
-def near_groups(df: DataFrame, id_col: str, text_col: str, group_col: str = "group_id", hot: int = HOT, counters: int = COUNTERS, part: int = PART) -> DataFrame:
+def near_groups(
+    df: DataFrame, id_col: str, text_col: str, group_col: str = "group_id", hot: int = HOT, counters: int | None = None, part: int = PART, entries_a_pass: int = dealing.PASS
+) -> DataFrame:
     """(group, id): the members of every group of two or more records linked, directly or through others, by near texts;
     the group is named by its smallest id.
 
-    Null, blank and very short texts are in no group; an id that comes twice is one record; an empty table gives an
-    empty result; other columns are ignored.
+    Null, blank and very short texts are in no group; an id that comes twice is one record, and has all the texts that
+    came with it; an empty table gives an empty result; other columns are ignored.
     """
-    feats = stage(features(df, id_col, text_col), "features")
-    folded = feats.groupBy("key").agg(F.min("rec").alias("rec"), F.count_distinct("rec").alias("copies"))
-    reps = stage(feats.join(folded.select("key", "rec"), ["key", "rec"]).dropDuplicates(["rec"]).select("rec", "n", "tri"), "texts")
-    entries = shard_entries(reps, triple_counts(reps, counters), in_two_texts(reps), max(1, reps.count() // part))
-    found = stage(candidate_pairs(entries, hot), "pairs")
-    links = stage(near_links(found, reps), "links")
+    spark = df.sparkSession
+    feats = stage(features(df, id_col, text_col), "features", compression="zstd")
+    rows = feats.count()
+    counters = counters or dealing.power(COUNTERS, 32 * rows, MOST_COUNTERS)
+    # a task sends a whole table: as many tasks as cores, not as files
+    few = feats.coalesce(spark.sparkContext.defaultParallelism)
+    counts = dealing.count_table(few.select("symbols"), lambda b: _triples(b.column(0))[0], counters)
+    parts = max(1, rows // part)
+    prefixes = stage(prefixed(feats, counts, in_two_texts(few), min(part, 65535) if parts > 1 else None), "prefixes", compression="lz4")
+    dealing.free_shuffles(spark)
+    found: list[DataFrame] = []
+    dealing.search(prefixes, lambda e: shard_pairs(e, hot), _PAIRS, lambda pairs, k: found.append(stage(pairs, f"pairs-{k}")), parts, entries_a_pass)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionAll(more)
+    links = near_links(pairs, feats)
     comps = connected_components(links)
-    hots = found.filter("kind = 'hot'").select(F.col("a").alias("shard")).distinct()
-    if not hots.isEmpty():
-        hot_entries = stage(entries.join(hots, "shard", "left_semi"), "hot")
+    hots = np.array([r["a"] for r in pairs.filter("kind = 'hot'").select("a").distinct().collect()], np.int64).view(np.uint64)
+    if parts > 1 or len(hots):
+        hot_rows = stage(hot_entries(prefixes, hots).distinct(), "hot")
         for most in (4, None):  # first the closest of each component, which joins most; then all that still differ
-            crossed = near_links(cross_pairs(hot_entries, comps, hot, most), reps)
-            links = stage(links.unionByName(crossed).distinct(), "links")
+            crossed = near_links(cross_pairs(hot_rows, comps, hot, most), feats)
+            both = stage(links.unionByName(crossed).distinct(), "links")
+            unstage(links, crossed)
+            links = both
             comps = connected_components(links)
-        unstage(hot_entries)
-    unstage(found, reps, links)
-    texts = (
-        folded.join(comps.withColumnRenamed("node", "rec"), "rec", "left")
-        .filter(F.col("comp").isNotNull() | (F.col("copies") > 1))
-        .select("key", F.coalesce("comp", "rec").alias(group_col))
-    )
-    return feats.select("key", F.col("rec").alias(id_col)).distinct().join(texts, "key").select(group_col, id_col)
+        unstage(hot_rows)
+    unstage(prefixes, *found)
+    own = feats.select("rec", "text").distinct()
+    ends = own.groupBy("rec").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.collect_set("text").alias("all")).filter("a < b")
+    same = stage(ends.select("a", F.explode("all").alias("b")).filter("a < b").distinct(), "links")
+    if not same.isEmpty():
+        comps = connected_components(links.unionByName(same))
+    unstage(links, same)
+    placed = own.join(comps.withColumnRenamed("node", "text"), "text", "left").select("rec", F.coalesce("comp", "text").alias("comp")).distinct()
+    named = placed.groupBy("comp").agg(F.min("rec").alias(group_col), F.count("*").alias("members")).filter("members > 1")
+    return placed.join(named, "comp").select(group_col, F.col("rec").alias(id_col))
