@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm import helpers as h
+from tracewell.llm import dealing, overlap
 from tracewell.llm.overlap import coverage, spans, split_overlaps
 from tracewell.llm.words import words
 
@@ -41,6 +42,26 @@ def test_copies_repeats_and_same_text_in_both_tables(spark):
     assert got == {(0, 1, 2), (0, 1, 3)} and all([(x["start"], x["end"]) for x in r["spans"]] == [(0, r["words"])] for r in found)
 
 
+def test_a_training_text_meets_only_what_shares_a_triple(spark, monkeypatch):
+    """The work doesn't grow as training texts times shards of evaluation texts: each text is read once, and a bucket
+    holds a share of the entries; parts and passes change no result."""
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 1), i, rng.choice((True, True, False)), t) for i, t in h.corpus(12, 40, 5)]
+    dealt, sent = dealing._dealt, []
+
+    def counted(*args):
+        out = dealt(*args)
+        sent.append(sum(len(r["data"]) // dealing.ENTRY.itemsize for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(dealing, "_dealt", counted)
+    assert run(spark, rows, passages=200)[0] == brute(rows)
+    triples = sum(len(h.triple_set(t)) // 2 + 1 for *_, t in rows if t and len(words(t)) > 2)
+    assert len(sent) == 1 and sent[0] <= triples
+    assert run(spark, rows, counters=1 << 6, part=40, entries_a_pass=500)[0] == brute(rows) and len(sent) > 2
+    assert overlap.PASSAGES > 0
+
+
 def test_empty_nulls_and_one_sided(spark):
     assert run(spark, [])[0] == set()
     assert run(spark, [(0, 1, True, None), (0, 2, False, ""), (0, None, False, "a b c d"), (0, 3, True, "a b")])[0] == set()

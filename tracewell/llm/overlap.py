@@ -1,61 +1,48 @@
 """Same or near-same records across splits (problem 1).
 
-The evaluation records' words become symbols, one character each, and their rarest word triples (half plus one: any
-near text shares one of them, see words.prefix_order) are the passages of Aho-Corasick automata. Passages that no
-training text holds among its own rarest triples are dropped first, by a bit table of fixed size. The automata are
-sharded by a bound on their passages; each shard scans all training texts. Matched evaluation records are checked
-exactly, and the intervals they share with training texts merge into their coverage. Equal evaluation texts are one text
-of the automata, and dealt to their records at the end.
-
-The evaluation shards are read by the scanning tasks from the shared folder, one shard at a time, so neither the
-driver nor a broadcast ever holds them; the training texts are never shuffled.
+Every text sends its rarest word triples (half plus one: any near text shares one of them, see words.prefix_order), those
+that bit tables of fixed size find on both sides, to the bucket of the triple, pass by pass (see dealing). There the
+training and the evaluation texts under one triple compare their sketches, so no text meets all texts of the other side.
+Equal texts are one text, and dealt to their records at the end.
+
+The pairs left are checked by Aho-Corasick automata: the triples of some evaluation texts, as symbols of one character
+each, are the passages of an automaton that scans the training texts paired with them. The passages found give the
+triples in common and the intervals that the evaluation text shares. Neither the driver nor a broadcast holds texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.shelf import get, put
-from tracewell.llm.words import Symbols, add_saturating, merged_table, near_from_counts, window_hashes
+from tracewell.llm import dealing
+from tracewell.llm.words import Symbols, merged_table, near_from_counts
 from tracewell.session import stage, unstage
 
-COUNTERS = 1 << 22
-BITS = 1 << 25
-#: An automaton of so many passages takes about 0.3 GB.
-PASSAGES = 1_500_000
-BUCKET = 100_000
-_POINTS = np.uint32(0x110000 - 0x800)
+#: Counters at least and at most (two bytes each), and bits for a triple of a prefix, at most so many.
+COUNTERS = 1 << 21
+MOST_COUNTERS = 1 << 25
+MOST_BITS = 1 << 28
+#: Passages of an automaton; one of so many takes about 40 MB.
+PASSAGES = 200_000
+PART = 500_000
+#: Pairs of sketches compared at once.
+AT_ONCE = 500_000
 
 
-def _characters(symbols: np.ndarray, tbl: int) -> np.ndarray:
-    """One code point for each symbol, another for each table; none is a surrogate."""
-    c = (symbols ^ np.uint32((tbl * 0x9E3779B1) & 0xFFFFFFFF)) % _POINTS
-    return np.where(c >= 0xD800, c + np.uint32(0x800), c).astype(np.uint32)
-
-
-def _hashes(symbols: np.ndarray, tbl: int) -> np.ndarray:
-    return window_hashes(symbols) ^ np.uint64((tbl * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-
-
-def _rows(batch: pa.RecordBatch, data: int) -> Iterator[tuple]:
-    """The rows, the symbols (in column `data`, the last) as an array."""
-    rest = [batch.column(k).to_pylist() for k in range(batch.num_columns) if k != data]
-    for *row, s in zip(*rest, batch.column(data).to_pylist()):
-        yield (*row, np.frombuffer(s, np.uint32))
+def _seeds(tbls: pa.Array) -> np.ndarray:
+    return tbls.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def encoded(records: DataFrame) -> DataFrame:
-    """(tbl, rec, train, symbols) of the records with a text of three words or more."""
+    """(tbl, rec, train, text, symbols) of the records with a text of three words or more; text names the words and the
+    table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Symbols()
@@ -64,152 +51,184 @@ def encoded(records: DataFrame) -> DataFrame:
             for tbl, rec, train, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = table.of(text)
                 if rec is not None and len(s) > 2:
-                    out.append((tbl, rec, train, s.tobytes()))
+                    raw = s.tobytes()
+                    name = xxhash.xxh3_64_intdigest(raw, tbl)
+                    out.append((tbl, rec, train, name - (1 << 64) if name >> 63 else name, raw))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["tbl", "rec", "train", "symbols"])
+                types = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "rec", "train", "text", "symbols"])
 
-    return records.select("tbl", F.col("rec").cast("long"), "train", "text").mapInArrow(run, "tbl int, rec long, train boolean, symbols binary")
+    return records.select("tbl", F.col("rec").cast("long"), "train", "text").mapInArrow(run, "tbl int, rec long, train boolean, text long, symbols binary")
 
 
-def _flat(symbols: pa.Array, tbls: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, text, windows) of a whole batch at once: the triple hashes of all texts in order, the text each is of,
-    and how many each text has. Every text has three symbols or more."""
-    parts = symbols.to_pylist()
-    sizes = np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
-    flat = np.frombuffer(b"".join(parts), np.uint32)
-    text = np.repeat(np.arange(len(parts)), sizes)
-    inside = text[2:] == text[:-2]
-    seeds = np.array([(t * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF for t in tbls.to_pylist()], np.uint64)
-    text = text[:-2][inside]
-    return window_hashes(flat)[inside] ^ seeds[text], text, sizes - 2
+def _triples(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's triples once, of columns tbl and symbols: (hashes, text, n)."""
+    parts = batch.column("symbols").to_pylist()
+    h, text, _ = dealing.flat(parts, _seeds(batch.column("tbl")))
+    return dealing.distinct(h, text, len(parts))
 
 
-def _count_table(texts: DataFrame) -> np.ndarray:
-    """Hashed counts of the triples of all texts, saturating at 255; they only order the triples."""
-    mask = np.uint64(COUNTERS - 1)
+def _prefixed(words: DataFrame, counts: np.ndarray, many: int | None) -> DataFrame:
+    """PREFIXES of the texts; side is 1 for those of evaluation splits."""
+    shared = words.sparkSession.sparkContext.broadcast(counts)
 
-    def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                add_saturating(table, (_flat(batch.column(1), batch.column(0))[0] & mask).astype(np.int64))
+            if not batch.num_rows:
+                continue
+            h, text, n = _triples(batch)
+            sketches, own = dealing.prefixes(h, text, n, shared.value, None, many)
+            side = pa.array([0 if train else 1 for train in batch.column("train").to_pylist()], pa.int32())
+            columns = [batch.column("text"), side, pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary()), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rec", "side", "n", "sketch", "prefix"])
 
-    return merged_table(texts.select("tbl", "symbols"), fill, COUNTERS, "add")
+    return words.select("tbl", "train", "text", "symbols").mapInArrow(run, dealing.PREFIXES)
 
 
-def _with_prefix(texts: DataFrame, counts) -> DataFrame:
-    """Adds flags (a byte for each triple in order: is it in the prefix), n distinct triples, and their sketch."""
-    mask = np.uint64(COUNTERS - 1)
+def _slots(shards: np.ndarray, bits: int) -> np.ndarray:
+    return (dealing.mixed(shards) & np.uint64(bits - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, text, windows = _flat(batch.column(3), batch.column(0))
-            order = np.lexsort((h, table[(h & mask).astype(np.int64)], text))
-            hs, ts = h[order], text[order]
-            first = np.ones(len(hs), bool)
-            first[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
-            n = np.bincount(ts[first], minlength=batch.num_rows)
-            rank = np.cumsum(first) - 1 - (np.cumsum(n) - n)[ts]
-            flags = np.empty(len(hs), np.uint8)
-            flags[order] = rank < n[ts] // 2 + 1
-            bits = np.bincount(ts[first] * 256 + (hs[first] >> np.uint64(56)).astype(np.int64), minlength=256 * batch.num_rows) & 1
-            sketches = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1)
-            raw, ends = flags.tobytes(), np.cumsum(windows).tolist()
-            more = [
-                pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary()), pa.array(n.astype(np.int32)),
-                pa.array([r.tobytes() for r in sketches], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["tbl", "rec", "train", "symbols", "flags", "n", "sketch"])
-
-    return texts.mapInArrow(run, "tbl int, rec long, train boolean, symbols binary, flags binary, n int, sketch binary")
-
-
-def _slots(s: np.ndarray, tbl: int, at: np.ndarray) -> np.ndarray:
-    return (_hashes(s, tbl)[at] & np.uint64(BITS - 1)).astype(np.int64)
-
-
-def _train_bits(train: DataFrame) -> np.ndarray:
-    mask = np.uint64(BITS - 1)
+
+def _side_bits(prefixed: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of the triples in the prefixes."""
 
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
-        seen = np.zeros(BITS, bool)
         for batch in batches:
-            if batch.num_rows:
-                flags = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
-                seen[(_flat(batch.column(2), batch.column(0))[0][flags == 1] & mask).astype(np.int64)] = True
-        table[:] = np.packbits(seen, bitorder="little")
+            slot = np.unique(_slots(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), bits))
+            np.bitwise_or.at(table, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
 
-    return merged_table(train.select("tbl", "flags", "symbols"), fill, BITS >> 3, "or")
+    return merged_table(prefixed.select("prefix"), fill, bits >> 3, "or")
 
 
-def _passages(held_out: DataFrame, bits, buckets: int) -> DataFrame:
-    """(bucket, tbl, rec, symbols, at, size, n, sketch): where in the evaluation text, named by rec, its passages
-    start."""
+def _on_both_sides(prefixed: DataFrame, both: np.ndarray) -> DataFrame:
+    """The prefixes without the triples that are on one side only."""
+    shared = prefixed.sparkSession.sparkContext.broadcast(both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for tbl, rec, flags, n, sketch, s in _rows(batch, 5):
-                at = np.flatnonzero(np.frombuffer(flags, np.uint8))
-                slot = _slots(s, tbl, at)
-                at = at[(bits.value[slot >> 3] >> (slot & 7)) & 1 == 1].astype(np.int32)
-                if len(at):
-                    out.append((xxhash.xxh3_64_intdigest(s.tobytes()) % buckets, tbl, rec, s.tobytes(), at.tobytes(), len(at), n, sketch))
-            if out:
-                types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["bucket", "tbl", "rec", "symbols", "at", "size", "n", "sketch"])
-
-    return held_out.select("tbl", "rec", "flags", "n", "sketch", "symbols").mapInArrow(
-        run, "bucket int, tbl int, rec string, symbols binary, at binary, size int, n int, sketch binary"
-    )
+            if not batch.num_rows:
+                continue
+            table, parts = shared.value, batch.column(4).to_pylist()
+            flat, sizes = np.frombuffer(b"".join(parts), np.uint64), np.fromiter((len(p) >> 3 for p in parts), np.int64, len(parts))
+            slot = _slots(flat, 8 * len(table))
+            at = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(parts)), sizes)[at], minlength=len(parts))).tolist()
+            raw = flat[at].tobytes()
+            own = [raw[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.binary())], ["rec", "side", "n", "sketch", "prefix"]).filter(pa.array([len(x) > 0 for x in own]))
+
+    return prefixed.mapInArrow(run, dealing.PREFIXES)
+
+
+def cross_pairs(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(train, held) within the radius, of the entries of whole shards."""
+    e = e[np.lexsort((e["rec"], e["side"], e["shard"]))]
+    again = np.zeros(len(e), bool)
+    again[1:] = (e["shard"][1:] == e["shard"][:-1]) & (e["side"][1:] == e["side"][:-1]) & (e["rec"][1:] == e["rec"][:-1])
+    e = e[~again]
+    starts = np.flatnonzero(np.concatenate([[True], e["shard"][1:] != e["shard"][:-1]]))
+    sizes = np.diff(np.append(starts, len(e)))
+    trains = np.add.reduceat((e["side"] == 0).astype(np.int64), starts)
+    first, number = np.repeat(starts + trains, trains), np.repeat(sizes - trains, trains)  # the evaluation texts that each training entry meets
+    train = np.flatnonzero(e["side"] == 0)
+    train, first, number = (x[number > 0] for x in (train, first, number))
+    found: list[np.ndarray] = []
+    done = np.concatenate([[0], np.cumsum(number)])
+
+    def unique() -> pa.RecordBatch:
+        pairs = np.concatenate(found)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["train", "held"])
+
+    for low in range(0, int(done[-1]), AT_ONCE):
+        at = np.arange(low, min(low + AT_ONCE, int(done[-1])))
+        own = np.searchsorted(done, at, side="right") - 1
+        i, j = train[own], first[own] + at - done[own]
+        ok = dealing.close(e, i, j)
+        if ok.any():
+            found.append(np.stack([e["rec"][i[ok]], e["rec"][j[ok]]], axis=1))
+        if sum(map(len, found)) >= 1_000_000:
+            yield unique()
+            found.clear()
+    if found:
+        yield unique()
 
 
 class _Automaton:
-    """The passages of some buckets."""
-
-    def __init__(self, fs: pafs.FileSystem, root: str, buckets: list[int]) -> None:
-        found = pads.dataset([f.path for b in buckets for f in fs.get_file_info(pafs.FileSelector(f"{root}/bucket={b}")) if f.path.endswith(".parquet")], filesystem=fs, format="parquet")
-        self.entries: list[tuple] = []
-        hits: dict[str, list[int]] = {}
-        for batch in found.to_batches(columns=["tbl", "rec", "symbols", "at", "n", "sketch"]):
-            for tbl, rec, s, at, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-                k = len(self.entries)
-                self.entries.append((int.from_bytes(sketch, "little"), n, tbl, s, rec))
-                text = _characters(np.frombuffer(s, np.uint32), tbl).tobytes().decode("utf-32-le")
-                for passage in {text[i : i + 3] for i in np.frombuffer(at, np.int32).tolist()}:
-                    if passage in hits:
-                        hits[passage].append(k)
-                    else:
-                        hits[passage] = [k]
-        self.where = list(hits.values())
+    """The triples of some evaluation texts as passages: a character for each symbol that they have, one for all others."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        flat = np.frombuffer(b"".join(texts), np.uint32)
+        self.known = np.unique(flat)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, passage in enumerate(hits):
+        self.passages: list[np.ndarray] = []
+        numbers: dict[str, int] = {}
+        for s in texts:
+            text = self._characters(s)
+            self.passages.append(np.fromiter((numbers.setdefault(text[i : i + 3], len(numbers)) for i in range(len(text) - 2)), np.int64, len(text) - 2))
+        for passage, k in numbers.items():
             self.automaton.add_word(passage, k)
         self.automaton.make_automaton()
 
-    def near(self, tbl: int, flags: bytes, n: int, sketch: bytes, s: np.ndarray, text: str) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
-        """(record, common, n train, n held out, shared windows) of the evaluation records near to the training text."""
-        found: set[int] = set()
-        where = self.where
-        for end, k in self.automaton.iter(text):
-            if flags[end - 2]:
-                found.update(where[k])
-        if not found:
-            return
-        own, entries, u = int.from_bytes(sketch, "little"), self.entries, None
-        for k in found:
-            other, m, held_tbl, held, rec = entries[k]
-            if 3 * (own ^ other).bit_count() > n + m or held_tbl != tbl:
-                continue
-            if u is None:
-                u = np.unique(_hashes(s, tbl))
-            order = _hashes(np.frombuffer(held, np.uint32), tbl)
-            shared = u[np.minimum(u.searchsorted(order), n - 1)] == order
-            common = len(np.unique(order[shared]))
-            if near_from_counts(common, n, m):
-                yield rec, common, n, m, shared
+    def _characters(self, s: bytes) -> str:
+        symbols = np.frombuffer(s, np.uint32)
+        at = np.minimum(self.known.searchsorted(symbols), len(self.known) - 1)
+        c = np.where(self.known[at] == symbols, at + 1, 0).astype(np.uint32)
+        return np.where(c >= 0xD800, c + np.uint32(0x800), c).astype(np.uint32).tobytes().decode("utf-32-le")
+
+    def found(self, s: bytes) -> np.ndarray:
+        """The numbers of the passages in a training text."""
+        return np.unique(np.fromiter((k for _, k in self.automaton.iter(self._characters(s))), np.int64))
+
+
+def _checked(pairs: DataFrame, words: DataFrame, passages: int) -> DataFrame:
+    """(tbl, train, held, common, n_train, n_held, words, spans) of the pairs that are near."""
+    bits = words.sparkSession.sparkContext.broadcast(dealing.node_bits(pairs, ("train", "held")))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(dealing.in_bits(bits.value, batch.column("text").to_numpy(zero_copy_only=False))))
+            if batch.num_rows:
+                n = pa.array(_triples(batch)[2].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, n], ["tbl", "text", "symbols", "n"])
+
+    texts = stage(words.select("tbl", "text", "symbols").mapInArrow(paired, "tbl int, text long, symbols binary, n int").dropDuplicates(["text"]), "compared", compression="zstd")
+    side = lambda x: texts.select(F.col("text").alias(x), F.col("tbl").alias(f"tbl_{x}"), F.col("n").alias(f"n_{x}"), F.col("symbols").alias(f"symbols_{x}"))
+    rows = pairs.join(side("train"), "train").join(side("held"), "held").filter("tbl_train = tbl_held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = list(zip(*(batch.column(c).to_pylist() for c in ("tbl_train", "train", "held", "n_train", "n_held", "symbols_train", "symbols_held"))))
+            low = 0
+            while low < len(whole):
+                number: dict[int, int] = {}
+                texts_: list[bytes] = []
+                size, high = 0, low
+                while high < len(whole) and (size < passages or whole[high][2] in number):
+                    held, s = whole[high][2], whole[high][6]
+                    if held not in number:
+                        number[held] = len(texts_)
+                        texts_.append(s)
+                        size += len(s) >> 2
+                    high += 1
+                automaton, scanned, out = _Automaton(texts_), {}, []
+                for tbl, train, held, n, m, s, _ in whole[low:high]:
+                    if train not in scanned:
+                        scanned[train] = automaton.found(s)
+                    own, hit = automaton.passages[number[held]], scanned[train]
+                    if not len(hit):
+                        continue
+                    shared = hit[np.minimum(hit.searchsorted(own), len(hit) - 1)] == own
+                    common = len(np.unique(own[shared]))
+                    if near_from_counts(common, n, m):
+                        out.append((tbl, train, held, common, n, m, len(own) + 2, spans(shared)))
+                if out:
+                    types = (pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "train", "held", "common", "n_train", "n_held", "words", "spans"])
+                low = high
+
+    return rows.mapInArrow(run, "tbl int, train long, held long, common int, n_train int, n_held int, words int, spans array<struct<start: int, end: int>>")
 
 
 def spans(shared: np.ndarray, width: int = 3) -> list[dict[str, int]]:
@@ -222,20 +241,7 @@ def spans(shared: np.ndarray, width: int = 3) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in zip(np.flatnonzero(inside > 0).tolist(), np.flatnonzero(inside < 0).tolist())]
 
 
-def _build(spark, path: str, shards: list[list[int]]) -> None:
-    """Builds each shard's automaton once, in a task of its own, and writes it beside the passages for all to read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                put(path, f"automaton-{k}", _Automaton(fs, root, shards[k]))
-                yield batch.slice(0, 0)
-
-    spark.range(0, len(shards), 1, len(shards)).mapInArrow(run, "id long").count()
-
-
-def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
+def split_overlaps(records: DataFrame, passages: int = PASSAGES, counters: int | None = None, part: int = PART, entries_a_pass: int = dealing.PASS) -> DataFrame:
     """(tbl, train_id, held_id, common, n_train, n_held, words, spans) of every training record and evaluation record of
     the same table that are near; spans are the intervals of the evaluation record's words that they share. records: tbl
     int, rec, train boolean, text.
@@ -244,49 +250,31 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES) -> DataFrame:
     that come twice count once; an empty table gives an empty result. Jobs run while the result is built.
     """
     spark = records.sparkSession
-    words = stage(encoded(records.filter("train is not null")), "words")
-    counts = spark.sparkContext.broadcast(_count_table(words))
-    texts = stage(_with_prefix(words, counts), "texts")
-    unstage(words)
-    train, held_out = texts.filter("train"), texts.filter("not train")
-    size = held_out.agg(F.sum(F.length("symbols")) / 8).first()[0] or 0
-    bits = spark.sparkContext.broadcast(_train_bits(train))
-    keyed = held_out.withColumn("held_id", F.col("rec")).withColumn("rec", F.md5("symbols"))
-    members = stage(keyed.select("tbl", "rec", "held_id").distinct(), "members")
-    once = keyed.dropDuplicates(["tbl", "rec"])
-    held = stage(_passages(once, bits, 1 + int(size // BUCKET)).repartition("bucket"), "passages", ["bucket"])
-    shards: list[tuple[int, list[int]]] = []
-    for row in held.groupBy("bucket").agg(F.sum("size").alias("n")).orderBy("bucket").collect():
-        if not shards or shards[-1][0] + row["n"] > passages:
-            shards.append((0, []))
-        shards[-1] = (shards[-1][0] + row["n"], [*shards[-1][1], row["bucket"]])
-    path = held._tracewell_path
-
-    def scan(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard = None
-            for batch in batches:
-                shard = shard or get(path, f"automaton-{k}")
-                out = []
-                for tbl, rec, flags, n, sketch, s in _rows(batch, 5):
-                    text = _characters(s, tbl).tobytes().decode("utf-32-le")
-                    out += [(tbl, rec, *found, len(shared) + 2, spans(shared)) for *found, shared in shard.near(tbl, flags, n, sketch, s, text)]
-                if out:
-                    types = (pa.int32(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["tbl", "train_id", "rec", "common", "n_train", "n_held", "words", "spans"])
-
-        return run
-
-    schema = "tbl int, train_id long, rec string, common int, n_train int, n_held int, words int, spans array<struct<start: int, end: int>>"
-    columns = ["tbl", "train_id", "held_id", "common", "n_train", "n_held", "words", "spans"]
-    if not shards:
-        return spark.createDataFrame([], schema).withColumn("held_id", F.col("rec").cast("long")).select(*columns)
-    _build(spark, path, [own for _, own in shards])
-    rows = train.select("tbl", "rec", "flags", "n", "sketch", "symbols")
-    parts = rows.rdd.getNumPartitions()
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, parts // 4))
-    found = reduce(DataFrame.unionAll, (rows.mapInArrow(scan(k), schema) for k in range(len(shards)))).dropDuplicates(["tbl", "train_id", "rec"])
-    return found.join(members, ["tbl", "rec"]).select(*columns)
+    words = stage(encoded(records.filter("train is not null")), "words", compression="zstd")
+    rows = words.count()
+    # a task sends a whole table: as many tasks as cores, not as files
+    few = lambda df: df.coalesce(spark.sparkContext.defaultParallelism)
+    counters = counters or dealing.power(COUNTERS, 32 * rows, MOST_COUNTERS)
+    counts = dealing.count_table(few(words.select("tbl", "symbols")), lambda b: _triples(b)[0], counters)
+    parts = max(1, rows // part)
+    first = stage(_prefixed(words, counts, min(part, 65535) if parts > 1 else None), "prefixes", compression="lz4")
+    bits = dealing.power(1 << 22, 2 * (first.agg(F.sum(F.length("prefix"))).first()[0] or 0), MOST_BITS)
+    both = _side_bits(few(first.filter("side = 0")), bits) & _side_bits(few(first.filter("side = 1")), bits)
+    prefixes = stage(_on_both_sides(first, both), "prefixes", compression="lz4")
+    unstage(first)
+    dealing.free_shuffles(spark)
+    found: list[DataFrame] = []
+    dealing.search(prefixes, cross_pairs, "train long, held long", lambda pairs, k: found.append(stage(pairs, f"pairs-{k}")), parts, entries_a_pass)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionAll(more)
+    pairs = stage(pairs.distinct(), "pairs")
+    unstage(prefixes, *found)
+    near = stage(_checked(pairs, words, passages), "near")
+    unstage(pairs)
+    member = lambda which, name: words.filter(which).select(F.col("text").alias(name), F.col("rec").alias(f"{name}_id")).distinct()
+    members = near.join(member("train", "train"), "train").join(member("not train", "held"), "held")
+    return members.select("tbl", "train_id", "held_id", "common", "n_train", "n_held", "words", "spans")
 
 
 def coverage(found: DataFrame) -> DataFrame:
