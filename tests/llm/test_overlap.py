@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from tests.llm import helpers as h
 from tracewell.llm import dealing, overlap
 from tracewell.llm.overlap import coverage, spans, split_overlaps
 from tracewell.llm.words import words
+from tracewell.session import shared_path
 
 SCHEMA = "tbl int, rec long, train boolean, text string"
 
@@ -104,3 +106,26 @@ def test_a_blank_split_is_another_split(spark, tmp_path):
         spark.createDataFrame([(k, split, "one two three four") for k, split in rows], f"{rec} long, split string, {text} string").write.parquet(f"{tmp_path}/{name}.parquet")
     got = {(r["tbl"], r["rec"], r["train"]) for r in _split_records(spark, str(tmp_path)).collect()}
     assert got == {(k, rec, train) for k in (0, 1) for rec, train in ((1, True), (2, False), (3, None), (4, False))}
+
+
+def test_one_copy_of_prefixes_and_tables(spark, monkeypatch):
+    """Only triples on both sides are ever staged, and tables are one file in the shared folder, gone once read; a
+    broadcast has a copy on the driver and on each executor."""
+    rng, prefixes, sent, folders = random.Random(21), [], [], set()
+    one_sided = [" ".join(f"{'ab'[k % 2]}{k}w{i}" for i in range(50)) for k in range(40)]
+    both = h.scene(rng, 5)
+    rows = [(0, k, k % 2 == 0, t) for k, t in enumerate([*one_sided, both, both])]
+
+    def staged(df, what, **kw):
+        out = stage(df, what, **kw)
+        if what == "prefixes":
+            prefixes.append(sum(len(r["prefix"]) // 8 for r in out.collect()))
+        return out
+
+    stage, broadcast, sc = overlap.stage, type(spark.sparkContext).broadcast, spark.sparkContext
+    monkeypatch.setattr(overlap, "stage", staged)
+    monkeypatch.setattr(type(sc), "broadcast", lambda self, x: sent.append(getattr(x, "nbytes", 0)) or broadcast(self, x))
+    monkeypatch.setattr(overlap, "shared_path", lambda *a: folders.add(path := shared_path(*a)) or path, raising=False)
+    assert run(spark, rows)[0] == {(0, 40, 41)}
+    assert prefixes == [2 * (len(h.triple_set(both)) // 2 + 1)] and max(sent) < 1 << 20
+    assert folders and not any(os.path.exists(x.removeprefix("file://")) for x in folders)

@@ -68,13 +68,19 @@ def count_table(texts: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]
     return merged_table(texts, fill, 2 * counters, "add16").view(np.uint16)
 
 
-def prefixes(h: np.ndarray, text: np.ndarray, n: np.ndarray, table: np.ndarray, keep: Callable[[np.ndarray], np.ndarray] | None, many: int | None) -> tuple[list[bytes], list[bytes]]:
-    """(sketches, prefixes) of texts from their distinct triples (see `distinct`): the rarest half plus one, those of
-    them that `keep` keeps. Triples of `many` texts or more are marked."""
+def rarest(h: np.ndarray, text: np.ndarray, n: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts): where each text's rarest half plus one are among the distinct triples of texts (see `distinct`),
+    and the hashed counts of all of these."""
     counts = table[(h & np.uint64(len(table) - 1)).astype(np.int64)]
     order = np.lexsort((h, counts, text))
     starts = np.cumsum(n) - n
-    chosen = order[np.arange(len(h)) - starts[text] < n[text] // 2 + 1]
+    return order[np.arange(len(h)) - starts[text] < n[text] // 2 + 1], counts
+
+
+def prefixes(h: np.ndarray, text: np.ndarray, n: np.ndarray, table: np.ndarray, keep: Callable[[np.ndarray], np.ndarray] | None, many: int | None) -> tuple[list[bytes], list[bytes]]:
+    """(sketches, prefixes) of texts from their distinct triples: the rarest half plus one, those of them that `keep`
+    keeps. Triples of `many` texts or more are marked."""
+    chosen, counts = rarest(h, text, n, table)
     if keep is not None:
         chosen = chosen[keep(h[chosen])]
     marked = (h[chosen] & ~np.uint64(1)) | (np.uint64(0) if many is None else (counts[chosen] >= many).astype(np.uint64))
@@ -195,17 +201,20 @@ def close(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def node_bits(pairs: DataFrame, columns: tuple[str, ...] = ("a", "b")) -> np.ndarray:
     """A bit table of the texts that are in pairs."""
     size = power(1 << 16, 16 * pairs.count(), 1 << 28)
-    mask = np.uint64(size - 1)
 
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
         for batch in batches:
             for c in batch.columns:
-                slot = (mixed(c.to_numpy(zero_copy_only=False).astype(np.uint64)) & mask).astype(np.int64)
-                np.bitwise_or.at(table, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+                set_bits(table, c.to_numpy(zero_copy_only=False))
 
     return merged_table(pairs.select(*columns), fill, size >> 3, "or")
 
 
+def set_bits(table: np.ndarray, recs: np.ndarray) -> None:
+    slot = (mixed(recs.astype(np.uint64)) & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    np.bitwise_or.at(table, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+
+
 def in_bits(table: np.ndarray, recs: np.ndarray) -> np.ndarray:
     slot = (mixed(recs.astype(np.uint64)) & np.uint64(8 * len(table) - 1)).astype(np.int64)
     return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

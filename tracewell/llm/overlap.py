@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import dealing
+from tracewell.llm.shelf import get, put
 from tracewell.llm.words import Symbols, merged_table, near_from_counts
-from tracewell.session import stage, unstage
+from tracewell.session import delete_shared, shared_path, stage, unstage
 
 #: Counters at least and at most (two bytes each), and bits for a triple of a prefix, at most so many.
 COUNTERS = 1 << 21
@@ -68,56 +69,34 @@ def _triples(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return dealing.distinct(h, text, len(parts))
 
 
-def _prefixed(words: DataFrame, counts: np.ndarray, many: int | None) -> DataFrame:
-    """PREFIXES of the texts; side is 1 for those of evaluation splits."""
-    shared = words.sparkSession.sparkContext.broadcast(counts)
+def _prefixed(words: DataFrame, tables: str, many: int | None) -> DataFrame:
+    """PREFIXES of the texts: their triples that may be on both sides; side is 1 for texts of evaluation splits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, both = get(tables, "tables")
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, text, n = _triples(batch)
-            sketches, own = dealing.prefixes(h, text, n, shared.value, None, many)
+            sketches, own = dealing.prefixes(h, text, n, counts, lambda x: dealing.in_bits(both, x), many)
             side = pa.array([0 if train else 1 for train in batch.column("train").to_pylist()], pa.int32())
             columns = [batch.column("text"), side, pa.array(n.astype(np.int32)), pa.array(sketches, pa.binary()), pa.array(own, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["rec", "side", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["rec", "side", "n", "sketch", "prefix"]).filter(pa.array([len(x) > 0 for x in own]))
 
     return words.select("tbl", "train", "text", "symbols").mapInArrow(run, dealing.PREFIXES)
 
 
-def _slots(shards: np.ndarray, bits: int) -> np.ndarray:
-    return (dealing.mixed(shards) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _side_bits(prefixed: DataFrame, bits: int) -> np.ndarray:
-    """The bit table of the triples in the prefixes."""
+def _side_bits(words: DataFrame, tables: str, bits: int) -> np.ndarray:
+    """The bit table of the triples in the prefixes of the texts."""
 
     def fill(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> None:
+        counts = get(tables, "tables")
         for batch in batches:
-            slot = np.unique(_slots(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), bits))
-            np.bitwise_or.at(table, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-
-    return merged_table(prefixed.select("prefix"), fill, bits >> 3, "or")
-
-
-def _on_both_sides(prefixed: DataFrame, both: np.ndarray) -> DataFrame:
-    """The prefixes without the triples that are on one side only."""
-    shared = prefixed.sparkSession.sparkContext.broadcast(both)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table, parts = shared.value, batch.column(4).to_pylist()
-            flat, sizes = np.frombuffer(b"".join(parts), np.uint64), np.fromiter((len(p) >> 3 for p in parts), np.int64, len(parts))
-            slot = _slots(flat, 8 * len(table))
-            at = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(parts)), sizes)[at], minlength=len(parts))).tolist()
-            raw = flat[at].tobytes()
-            own = [raw[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.binary())], ["rec", "side", "n", "sketch", "prefix"]).filter(pa.array([len(x) > 0 for x in own]))
+            if batch.num_rows:
+                h, text, n = _triples(batch)
+                dealing.set_bits(table, h[dealing.rarest(h, text, n, counts)[0]])
 
-    return prefixed.mapInArrow(run, dealing.PREFIXES)
+    return merged_table(words.select("tbl", "symbols"), fill, bits >> 3, "or")
 
 
 def cross_pairs(e: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -251,18 +230,26 @@ def split_overlaps(records: DataFrame, passages: int = PASSAGES, counters: int |
     """
     spark = records.sparkSession
     words = stage(encoded(records.filter("train is not null")), "words", compression="zstd")
-    rows = words.count()
+    rows, size = words.agg(F.count("*"), F.coalesce(F.sum(F.length("symbols")), F.lit(0))).first()
     # a task sends a whole table: as many tasks as cores, not as files
     few = lambda df: df.coalesce(spark.sparkContext.defaultParallelism)
+
+    def shared(tables: object) -> str:
+        dealing.free_shuffles(spark)  # those of the table made last
+        put(path := shared_path(spark, "tables"), "tables", tables)
+        return path
+
     counters = counters or dealing.power(COUNTERS, 32 * rows, MOST_COUNTERS)
     counts = dealing.count_table(few(words.select("tbl", "symbols")), lambda b: _triples(b)[0], counters)
+    alone = shared(counts)
+    bits = dealing.power(1 << 22, 2 * size, MOST_BITS)  # sixteen for each triple of a prefix: half of a text's words
+    both = _side_bits(few(words.filter("train")), alone, bits) & _side_bits(few(words.filter("not train")), alone, bits)
+    tables = shared((counts, both))
+    del counts, both
+    delete_shared(spark, alone)
     parts = max(1, rows // part)
-    first = stage(_prefixed(words, counts, min(part, 65535) if parts > 1 else None), "prefixes", compression="lz4")
-    bits = dealing.power(1 << 22, 2 * (first.agg(F.sum(F.length("prefix"))).first()[0] or 0), MOST_BITS)
-    both = _side_bits(few(first.filter("side = 0")), bits) & _side_bits(few(first.filter("side = 1")), bits)
-    prefixes = stage(_on_both_sides(first, both), "prefixes", compression="lz4")
-    unstage(first)
-    dealing.free_shuffles(spark)
+    prefixes = stage(_prefixed(words, tables, min(part, 65535) if parts > 1 else None), "prefixes", compression="lz4")
+    delete_shared(spark, tables)
     found: list[DataFrame] = []
     dealing.search(prefixes, cross_pairs, "train long, held long", lambda pairs, k: found.append(stage(pairs, f"pairs-{k}")), parts, entries_a_pass)
     pairs = found[0]

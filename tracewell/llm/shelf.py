@@ -1,4 +1,5 @@
-"""Python objects in a folder that all executors share: built by tasks, read by tasks, never by the driver.
+"""Python objects in a folder that all executors share, read by tasks: built by tasks, or by the driver where their size
+is fixed. There is one copy on disk; a broadcast has one on the driver and on each executor.
 
 The folder must be on one of pyarrow's file systems (file, hdfs, s3, gs).
 """
